@@ -18,8 +18,38 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("live_spans", "row")
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op3_toxicity, op5_license_scan, op6_token_counts, op7_warc, op8_secret_scan, op10_media_columns)}
 
 
 def oracle_sql() -> dict:
