@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.mixing import mix, quality_domains
+
+    domains = quality_domains(table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), domains, {"clean_high": 0.8, "clean_low": 0.15, "toxic": 0.05})
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.licenses import scan
 
@@ -39,7 +59,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.secrets import scan
 
-    return scan(table(spark, sf_dir, "documents")).drop("live_spans", "row")
+    return scan(table(spark, sf_dir, "documents")).drop("own", "row")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op5_license_scan, op6_token_counts, op7_warc, op8_secret_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_ann, op3_toxicity, op4_packing, op5_license_scan, op6_token_counts, op7_warc, op8_secret_scan, op9_near_dedup, op10_media_columns)}
 
 
 def oracle_sql() -> dict:

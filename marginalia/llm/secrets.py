@@ -33,7 +33,7 @@ def _pieces(text: Column, kind: int) -> Column:
     return F.when(text.rlike(pattern), rows).otherwise(empty)
 
 
-def find(docs: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates): one row a document and one a candidate with its code-point span, joined by ``row``.
 
     Positions are running sums over a row's matches, so that thousands of matches in one text cost no more each.
@@ -43,9 +43,9 @@ def find(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"),
-        F.concat(*(_pieces(text, k) for k in range(len(KINDS)))).alias("found"),
+        F.concat(*(_pieces(text, k) for k in range(len(KINDS)))).alias("found"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
     )
-    rows = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    rows = stored(narrow, "secrets")
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", "repository", F.explode("found").alias("f")).select("row", "doc_id", "owner", "repository", "f.*")
     so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("len")).over(so_far)
@@ -65,14 +65,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n_places"))
 
 
-def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, example_owners: int = 3, least_symbols: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, example_owners: int = 3, least_symbols: int = 8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """A row a document with its spans, by the kinds' order at equal starts, and the spans' classes.
 
     A value is an ``example`` if at least ``example_owners`` owners hold it, ``live`` if one owner alone does and it has
     at least ``least_symbols`` different characters, else ``unclear``. Live values add spans of kind ``live``. Null texts
     are empty; texts without candidates have empty spans; repeated rows each keep their own.
     """
-    rows, found = find(docs, owner, repository, id_col, text_col)
+    rows, found = find(docs, owner, repository, id_col, text_col, row_col)
     found = stored(found, "secrets-found")  # a row a candidate, without texts
     owned = ownership(found)
     symbols = F.size(F.array_distinct(F.split("value", "")))
@@ -89,6 +89,7 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
         F.array_sort(F.collect_list(span("start", F.col("kind")))).alias("base"),
         F.collect_set(F.when(F.col("class") == "live", span("value_start", live))).alias("added"),
         F.count_if(F.col("class") == "example").alias("n_example"),
+        F.array_sort(F.collect_set(F.when(F.col("class") != "example", F.struct(F.col("value_start").alias("start"), F.col("end"))))).alias("own"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     r = rows.join(per_row, "row", "left")
@@ -99,5 +100,19 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     return r.select(
         "doc_id", count("n_assign"), count("n_access"), count("n_hex"),
         F.sha2(text(base), 256).alias("base_sha256"), text(F.array_sort(F.concat(base, added))).alias("spans"),
-        count("n_example"), F.size(added).cast("long").alias("n_live"), added.alias("live_spans"), "row",
+        count("n_example"), F.size(added).cast("long").alias("n_live"), "own", "row",
     )
+
+
+def masked(docs: DataFrame, owner: Column | str = "source", mask: str = "[secret]", **scan_options) -> DataFrame:
+    """``docs`` with every value that is not a widely copied example replaced by ``mask``; columns as before.
+
+    Rows without such values pass as they are. Values that overlap are masked as one.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "secrets-docs")
+    own = stored(scan(rows, owner, row_col="_row", **scan_options).where(F.size("own") > 0).select(F.col("row").alias("_row"), F.col("own").alias("_own")), "secrets-own")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    between = lambda acc, s: F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+    step = lambda acc, s: F.struct(F.concat(acc["out"], F.when(s["end"] <= acc["at"], "").when(s["start"] < acc["at"], "").otherwise(F.concat(between(acc, s), F.lit(mask)))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    text = F.aggregate("_own", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    return rows.join(own, "_row", "left").withColumn("text", F.when(F.col("_own").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)

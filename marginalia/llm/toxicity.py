@@ -13,13 +13,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WIDTH, STRIDE = 32, 16  # words of a window, words from one window to the next
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 1 << 16, 8
 _CACHE_WORDS = 300_000
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def words(text: str) -> list[bytes]:
@@ -267,7 +267,7 @@ class Scorer:
         return result
 
 
-def held_out(doc_id) -> DataFrame:
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
@@ -285,23 +285,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other:
     return [(r.text, r.toxic) for r in first.orderBy("doc_id").collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """Score of every whole text, learned from a bounded sample of the labelled rows that are not held out.
-
-    A null or blank text scores 0, as does every text where the labels lack one of the classes. A null id counts as not
-    held out. Repeated rows score alike; only id and text are read, other columns are left out.
-    """
+def scored(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """``docs`` with all its columns and a last one, ``_score``; see ``toxicity``."""
     rows = training_rows(docs, labels, **limits)
     net = train([t for t, _ in rows], [y for _, y in rows])
     if net is not None:
         del net.sums
     held = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: two tables of 65,536 rows
+    text = docs.columns.index("text")
 
     def run(batches):
         score = Scorer(held.value)
         for b in batches:
-            s = score([t or "" for t in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            s = score([t or "" for t in b.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "_score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """Score of every whole text, learned from a bounded sample of the labelled rows that are not held out.
+
+    A null or blank text scores 0, as does every text where the labels lack one of the classes. A null id counts as not
+    held out. Repeated rows score alike; only id and text are read, other columns are left out.
+    """
+    s = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, **limits)
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return s.select("doc_id", held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return ids.mapInArrow(run, SCHEMA)
+def not_toxic(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """The rows that are not predicted toxic, with their columns."""
+    return scored(docs, labels, **limits).where("_score < 0.5").drop("_score")
