@@ -148,7 +148,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
     # Every block of queries scans every block of codes; copies of the query blocks are dealt over `ways` keys, so that no key takes all code blocks.
     ways = max(1, min(n_blocks, 64))
     left = code_blocks.withColumn("way", F.pmod(F.xxhash64("block"), F.lit(ways)))
-    right = query_blocks.withColumnsRenamed({"ids": "qids", "data": "qdata"}).select("qids", "qdata", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).cast("long").alias("way"))
+    right = query_blocks.withColumnsRenamed({"ids": "qids", "data": "qdata"}).select("qids", "qdata", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("way"))
     pairs = left.join(right, "way").select("ids", "data", "extra", "qids", "qdata")
 
     def scanned(batches):

@@ -29,6 +29,10 @@ MEMBER_SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media b
 FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _head(doc_id: int | None, n: int, media: bytes) -> bytes:
+    return _HEAD.pack(_MAGIC, doc_id is not None, doc_id or 0, n, len(media), zlib.crc32(media))
+
+
 def pad(data: bytes) -> bytes:
     """Spaces up to a positive multiple of the row length."""
     return data + b" " * (-len(data) % ROW if data else ROW)
@@ -94,7 +98,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out, size, members, blocks = fs.open_output_stream(f"{base}/{name}"), 0, 0, []
                 if not blocks or size - blocks[-1] >= block_bytes:
                     blocks.append(size)
-                head = _HEAD.pack(_MAGIC, doc_id is not None, doc_id or 0, len(data), len(media), zlib.crc32(media))
+                head = _head(doc_id, len(data), media)
                 out.write(head)
                 out.write(media)
                 size += len(head) + len(media)

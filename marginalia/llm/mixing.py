@@ -47,7 +47,7 @@ def log_probabilities(docs: DataFrame, labelled: DataFrame, domains: list[str],
     return stored(table.coalesce(1), "mixing-table"), [math.log((n.get(d, 0) + 1) / total) for d in domains]
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], evidence: int = 64, per_domain: int = 4000) -> DataFrame:
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], evidence: int = 12, per_domain: int = 4000) -> DataFrame:
     """Tokens and domain posteriors of every document id; a text's evidence counts as that of ``evidence`` words at most.
 
     Words are summed a document before the shuffle. Rows that share an id (null ids too) are one document; a text

@@ -166,7 +166,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     cell = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(side)), F.lit(side)).cast("int")
     dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
     ends = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = ends.join(texts, "node")
+    needed = ends.join(texts, "node").select(F.col("cell").alias("at"), "node", "text")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(words)
@@ -178,7 +178,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
         return left[np.array(ok, bool)][["a", "b"]]
 
-    return stored(dealt.groupBy("cell").cogroup(needed.groupBy("cell")).applyInPandas(run, "a long, b long"), "neardup-links")
+    return stored(dealt.groupBy("cell").cogroup(needed.groupBy("at")).applyInPandas(run, "a long, b long"), "neardup-links")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -102,6 +102,10 @@ class PrefixCounter:
         return int(ends[k - 1]) if k else 0
 
 
+def counter_of(path: str) -> PrefixCounter:
+    return _counters.get(path) or _counters.setdefault(path, PrefixCounter(path))
+
+
 def pack_table(table: tuple[np.ndarray, np.ndarray]) -> bytes:
     """Differences of both arrays: a byte each where they fit, else four."""
     steps = [np.diff(x, prepend=0) for x in table]
@@ -123,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """
 
     def run(batches):
-        counter = _counters.get(tokenizer_path) or _counters.setdefault(tokenizer_path, PrefixCounter(tokenizer_path))
+        counter = counter_of(tokenizer_path)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "cut_chars", "prefix_table")}
             for text in b.column(1).to_pylist():
