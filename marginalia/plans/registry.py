@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from marginalia.plans import learning, tables, text  # noqa: F401  (they register their queries)
+from marginalia.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
