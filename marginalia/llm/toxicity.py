@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as a hashed word embedding, the mean of hashed embeddings of its character 4-grams, and two fixed
-statistics: the log-odds of the word and the largest log-odds among its 4-grams over the training texts. The network
+Each word enters as a hashed word embedding, the mean of hashed embeddings of its character pieces (4-grams and
+beginnings), and two fixed statistics: the log-odds of the word and the largest log-odds among its pieces over the
+training texts. The network
 reads windows of words that overlap by half and cover the whole text; a text's logit is its highest window's, scaled on
 the training texts. Training starts from the window with the strongest words of each text and then follows the network's
 own choice of window.
@@ -19,6 +20,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 WIDTH, STRIDE = 32, 16  # words of a window, words from one window to the next
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 1 << 16, 8
+CELLS = 1 << 21  # of the tables of log-odds, so many that a piece seldom shares its cell; a hash's low bits are its bucket
+PREFIXES = (5, 6, 7, 8, 10)  # bytes of a word's beginnings
 _CACHE_WORDS = 300_000
 
 
@@ -32,21 +35,38 @@ def windows(n: int) -> np.ndarray:
 
 
 def features(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, buckets of all character 4-grams, where each word's 4-grams begin)."""
-    own = np.fromiter((zlib.crc32(w) & (BUCKETS - 1) for w in ws), np.int64, len(ws))
+    """(cell of each word, cells of its character pieces word by word, where each word's pieces begin).
+
+    Pieces are all 4-grams of bytes (word ends marked) and the word's beginnings of the lengths in ``PREFIXES``.
+    """
+    own = np.fromiter((zlib.crc32(w) & (CELLS - 1) for w in ws), np.int64, len(ws))
     data = np.frombuffer(b"".join(b"\x01" + w + b"\x01\x01\x01" for w in ws), np.uint8).astype(np.uint32)
     sizes = np.fromiter((len(w) + 1 for w in ws), np.int64, len(ws))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(ws)) * 3, sizes)
-    code = np.zeros(len(at), np.uint32)
-    for j in range(4):
-        code = code * np.uint32(0x9E3779B1) + data[at + j] + np.uint32(1)
-    code ^= code >> np.uint32(15)
-    return own, ((code * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.int64) & (BUCKETS - 1), first
+    begin = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
+    whose = np.repeat(np.arange(len(ws)), sizes)
+    at = np.arange(sizes.sum()) + whose * 3
+    pieces, owners = [_bucket(data, at, 4)], [whose]
+    for n in PREFIXES:
+        long = np.flatnonzero(sizes > n)
+        pieces.append(_bucket(data, begin[long] + 1, n))
+        owners.append(long)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[order], np.arange(len(ws)))
+    return own, np.concatenate(pieces)[order], first
+
+
+def _bucket(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    code = np.full(len(at), n, np.uint32)
+    for j in range(n):
+        code = (code ^ data[at + j]) * np.uint32(0x9E3779B1)
+        code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA6B)
+    return (code ^ (code >> np.uint32(13))).astype(np.int64) & (CELLS - 1)
 
 
 def spread(first: np.ndarray, end: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the 4-grams of some words, one word after the other, and how many each has."""
+    """Places of the pieces of some words, one word after the other, and how many each has."""
     sizes = np.diff(np.append(first, end))[rows]
     return np.repeat(first[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
@@ -64,15 +84,16 @@ class Network:
         self.p = {"ew": init(BUCKETS, DIM) * 8, "ec": init(BUCKETS, DIM) * 8, "wa": init(2 * HIDDEN, ATTEND), "va": init(ATTEND), "wo": init(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": init(inputs, 3 * HIDDEN), f"u{d}": init(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.odds_w = self.odds_c = np.zeros(BUCKETS, np.float32)
+        self.odds_w = self.odds_c = np.zeros(CELLS, np.int8)  # sixteenths
         self.scale = np.array([1.0, 0.0])
         self.sums = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
     def inputs(self, feats) -> np.ndarray:
         own, grams, first = feats
         counts = np.diff(np.append(first, len(grams)))[:, None]
-        mean = np.add.reduceat(self.p["ec"][grams], first) / counts
-        return np.concatenate([self.p["ew"][own], mean, self.odds_w[own][:, None], np.maximum.reduceat(self.odds_c[grams], first)[:, None]], 1).astype(np.float32)
+        mean = np.add.reduceat(self.p["ec"][grams & (BUCKETS - 1)], first) / counts
+        odds = [self.odds_w[own] / 16, np.maximum.reduceat(self.odds_c[grams], first) / 16]
+        return np.concatenate([self.p["ew"][own & (BUCKETS - 1)], mean, np.stack(odds, 1)], 1).astype(np.float32)
 
     def project(self, x: np.ndarray) -> list[np.ndarray]:
         """Input parts of the gates, forwards and backwards."""
@@ -146,7 +167,7 @@ class Network:
         for k, v in g.items():
             self.sums[k] += v * v
             p[k] -= rate * v / np.sqrt(self.sums[k])
-        for k, rows, v in (("ew", mine[0], d_x[:, :DIM]), ("ec", mine[1], np.repeat(d_x[:, DIM : 2 * DIM] / np.maximum(sizes, 1)[:, None], sizes, 0))):
+        for k, rows, v in (("ew", mine[0] & (BUCKETS - 1), d_x[:, :DIM]), ("ec", mine[1] & (BUCKETS - 1), np.repeat(d_x[:, DIM : 2 * DIM] / np.maximum(sizes, 1)[:, None], sizes, 0))):
             touched, back = np.unique(rows, return_inverse=True)
             total = np.zeros((len(touched), DIM), np.float32)
             np.add.at(total, back, v)
@@ -162,7 +183,7 @@ def window_ids(ids: np.ndarray) -> np.ndarray:
     return np.where(grid < len(ids), ids[np.minimum(grid, len(ids) - 1)], -1) if len(ids) else np.zeros((0, WIDTH), np.int64)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Network | None:
+def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int = 160, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Network | None:
     """A network from labelled texts; None where one label is missing."""
     docs = [(words(t), y) for t, y in zip(texts, labels, strict=True)]
     docs = [d for d in docs if d[0]]
@@ -175,15 +196,19 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128
     net = Network(seed)
     net.odds_w = log_odds(ids, y, lambda u: own[u])
     net.odds_c = log_odds(ids, y, lambda u: grams[spread(first, len(grams), u)[0]])
-    strong = net.odds_w[own] + np.maximum.reduceat(net.odds_c[grams], first)
+    strong = net.odds_w[own].astype(int) + np.maximum.reduceat(net.odds_c[grams], first)
     wins = [window_ids(i) for i in ids]
-    chosen = [w[[np.where(w >= 0, strong[w], -9).max(1).argmax()]] for w in wins]
+    chosen = [w[[np.where(w >= 0, strong[w], -999).max(1).argmax()]] for w in wins]
     g = np.random.default_rng(seed)
+    times = max(1, round(float(2 * (1 - y).sum() / y.sum())))
+    epochs = max(epochs, -(-least_steps // -(-len(y) // batch)))  # few texts are seen more often
     for epoch in range(epochs):
-        if epoch == 2:  # follow the network's own choice
+        if epoch in (epochs * 2 // 5, epochs * 4 // 5):  # follow the network's own choice
             chosen = [w[[s.argmax()]] for w, s in zip(wins, scores_of(net, vocab, wins), strict=True)]
         extra = [w[g.integers(len(w), size=1)] for w, v in zip(wins, y, strict=True) if v == 0]
-        x, t = np.concatenate(chosen + extra), np.concatenate([y, np.zeros(len(extra), np.float32)])
+        more = [w for w, v in zip(chosen, y, strict=True) if v == 1] * (times - 1)  # toxic windows as often as others, about
+        x = np.concatenate(chosen + extra + more)
+        t = np.concatenate([y, np.zeros(len(extra), np.float32), np.ones(len(more), np.float32)])
         order = g.permutation(len(x))
         for s in range(0, len(x), batch):
             net.step(vocab, x[order[s : s + batch]], t[order[s : s + batch]], rate)
@@ -192,13 +217,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128
     return net
 
 
-def log_odds(ids, y, buckets) -> np.ndarray:
-    """Log-odds of a bucket among toxic against other texts, counted once a text and smoothed."""
-    seen = np.zeros((2, BUCKETS))
+def log_odds(ids, y, cells) -> np.ndarray:
+    """Log-odds (in sixteenths) of a cell among toxic against other texts, counted once a text and smoothed."""
+    seen = np.zeros((2, CELLS), np.int32)
     for i, v in zip(ids, y, strict=True):
-        seen[int(v), np.unique(buckets(np.unique(i)))] += 1
+        seen[int(v), np.unique(cells(np.unique(i)))] += 1
     odds = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
-    return np.clip(np.where(seen.sum(0) >= 3, odds, 0), -3, 5).astype(np.float32)
+    odds *= seen.sum(0) / (seen.sum(0) + 8)  # of pieces in few texts little is known
+    return np.rint(np.clip(odds, -3, 6) * 16).astype(np.int8)
 
 
 def scores_of(net: Network, vocab, wins: list[np.ndarray]) -> list[np.ndarray]:
