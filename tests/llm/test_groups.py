@@ -60,7 +60,7 @@ def variants(n, seed=3):
 def test_near_duplicates(spark, rows):
     want, sizes = groups(rows)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, key int").repartition(3)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df, words=4).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df, words=4).collect())
     assert got == sorted((i is None, i or 0, n, -1 if c is None else c, i is None or i == c) for (i, _), n, c in zip(rows, sizes, want, strict=True))
 
 
