@@ -69,8 +69,8 @@ s AS (SELECT *, coalesce(sum(gap::INT) OVER (PARTITION BY user_id ORDER BY ts, e
 sm AS (SELECT user_id, session, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 AS minutes, coalesce(max(CASE WHEN event_type = 'view' THEN least(value, 100) / 100 END), 0) AS scroll,
 count(*) FILTER (WHERE event_type = 'click') AS highlights, count(*) FILTER (WHERE event_type = 'error') AS questions, count(*) FILTER (WHERE event_type = 'purchase') AS flashcards,
 count(DISTINCT CASE WHEN event_type = 'signup' THEN k END) AS expanded, count(*) AS events, min(ts) AS started FROM s GROUP BY ALL),
-se AS (SELECT *, greatest(0, least(1, 0.5 + CASE WHEN minutes BETWEEN 5 AND 30 THEN 0.1 WHEN minutes < 2 THEN -0.1 WHEN minutes > 60 THEN -0.05 ELSE 0 END
-+ CASE WHEN scroll >= 0.9 THEN 0.15 WHEN scroll >= 0.7 THEN 0.1 WHEN scroll >= 0.5 THEN 0.05 ELSE 0 END + least(0.2, (highlights * 2 + questions * 3 + flashcards * 2) * 0.02) + least(0.1, expanded * 0.02))) AS comprehension FROM sm)"""
+se AS (SELECT *, (greatest(0, least(1, 0.5 + CASE WHEN minutes BETWEEN 5 AND 30 THEN 0.1 WHEN minutes < 2 THEN -0.1 WHEN minutes > 60 THEN -0.05 ELSE 0 END
++ CASE WHEN scroll >= 0.9 THEN 0.15 WHEN scroll >= 0.7 THEN 0.1 WHEN scroll >= 0.5 THEN 0.05 ELSE 0 END + least(0.2, (highlights * 2 + questions * 3 + flashcards * 2) * 0.02) + least(0.1, expanded * 0.02))))::DOUBLE AS comprehension FROM sm)"""
 _KINDS = {"click": "highlight", "view": "scroll", "signup": "expand_section", "purchase": "create_flashcard", "error": "ask_question"}
 
 
@@ -117,7 +117,7 @@ def section_attention(spark, sf):
     return learning.section_attention(s)
 
 
-_SQL_SNAPSHOTS = r"""sn AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(turn::INTEGER) AS ts, least(1.0, 0.3 + CASE WHEN length(text) BETWEEN 10 AND 30 THEN 0.15 WHEN length(text) > 5 THEN 0.1 ELSE 0 END + (length(text) % 100) / 100 * 0.2) AS comprehension,
+_SQL_SNAPSHOTS = r"""sn AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(turn::INTEGER) AS ts, least(1.0, 0.3 + CASE WHEN length(text) BETWEEN 10 AND 30 THEN 0.15 WHEN length(text) > 5 THEN 0.1 ELSE 0 END + (length(text) % 100) / 100 * 0.2)::DOUBLE AS comprehension,
 list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 6)) AS takeaways, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) = 5)) AS questions FROM conversations)"""
 
 

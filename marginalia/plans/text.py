@@ -141,7 +141,7 @@ _TYPES = ("PERSON", "ORGANIZATION", "TECHNOLOGY", "METHOD", "DATASET", "CONCEPT"
 _VALID_SQL = ", ".join(f"('{a}', '{b}', {'true' if 'RELATED_TO' in ts.split() else 'false'}, '{ts.split()[0]}')" for (a, b), ts in extraction.VALID_TYPES.items())
 _SQL_TYPED = f"""{_SQL_PAIRS}, v(st, tt, free, first) AS (VALUES {_VALID_SQL}),
 tp AS (SELECT *, {list(_TYPES)}[source_ord] AS st, {list(_TYPES)}[target_ord] AS tt, abs(instr(lower(sentence), lower(source)) - instr(lower(sentence), lower(target))) AS gap FROM pairs),
-co AS (SELECT doc_id, sent_id, source, target, CASE WHEN free THEN 'RELATED_TO' ELSE first END AS type, least(0.95, 0.6 + CASE WHEN gap < 50 THEN 0.1 WHEN gap < 100 THEN 0.05 ELSE 0 END) * 0.7 AS confidence FROM tp JOIN v USING (st, tt))"""
+co AS (SELECT doc_id, sent_id, source, target, CASE WHEN free THEN 'RELATED_TO' ELSE first END AS type, (least(0.95, 0.6 + CASE WHEN gap < 50 THEN 0.1 WHEN gap < 100 THEN 0.05 ELSE 0 END) * 0.7)::DOUBLE AS confidence FROM tp JOIN v USING (st, tt))"""
 
 
 def _typed(spark, sf):
