@@ -25,8 +25,12 @@ PREFIXES = (5, 6, 7, 8, 10)  # bytes of a word's beginnings
 _CACHE_WORDS = 300_000
 
 
+#: ASCII characters other than letters and digits part words; all bytes from 0x80 on belong to them.
+_FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+
+
 def words(text: str) -> list[bytes]:
-    return text.lower().encode().split()
+    return text.lower().encode().translate(_FOLD).split()
 
 
 def windows(n: int) -> np.ndarray:
@@ -200,13 +204,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int
     wins = [window_ids(i) for i in ids]
     chosen = [w[[np.where(w >= 0, strong[w], -999).max(1).argmax()]] for w in wins]
     g = np.random.default_rng(seed)
-    times = max(1, round(float(2 * (1 - y).sum() / y.sum())))
+    times = max(1, min(3, round(float((1 - y).sum() / y.sum()))))
     epochs = max(epochs, -(-least_steps // -(-len(y) // batch)))  # few texts are seen more often
     for epoch in range(epochs):
         if epoch in (epochs * 2 // 5, epochs * 4 // 5):  # follow the network's own choice
             chosen = [w[[s.argmax()]] for w, s in zip(wins, scores_of(net, vocab, wins), strict=True)]
         extra = [w[g.integers(len(w), size=1)] for w, v in zip(wins, y, strict=True) if v == 0]
-        more = [w for w, v in zip(chosen, y, strict=True) if v == 1] * (times - 1)  # toxic windows as often as others, about
+        more = [w for w, v in zip(chosen, y, strict=True) if v == 1] * (times - 1)  # a balance, not so strong that single texts are learned by heart
         x = np.concatenate(chosen + extra + more)
         t = np.concatenate([y, np.zeros(len(extra), np.float32), np.ones(len(more), np.float32)])
         order = g.permutation(len(x))
