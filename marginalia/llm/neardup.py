@@ -30,6 +30,7 @@ CHUNKS, LENGTH, MORE = 8, 5, 152  # chunks, symbols (16 bits) of a chunk, furthe
 KEYED = CHUNKS * LENGTH
 #: Differing symbols, of KEYED + MORE, beyond which a pair isn't confirmed: five deviations above the mean at Jaccard 0.8.
 CUT = math.ceil((KEYED + MORE) * 0.2 + 5 * math.sqrt((KEYED + MORE) * 0.16))
+SENT_ROWS = 500_000  # rows (cell, node) that may be broadcast: 16 MB
 BLOCK = 384  # members of a bucket that meet in one block
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _g = np.random.default_rng(20)
@@ -165,8 +166,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     side = math.ceil(math.sqrt(pairs.count() / 400)) or 1
     cell = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(side)), F.lit(side)).cast("int")
     dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
-    ends = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = ends.join(texts, "node").select(F.col("cell").alias("at"), "node", "text")
+    ends = stored(dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct(), "neardup-ends")
+    # So few rows of two numbers are sent to the texts, which then need no shuffle; more of them meet the texts by node.
+    needed = (F.broadcast(ends) if ends.count() <= SENT_ROWS else ends).join(texts, "node").select(F.col("cell").alias("at"), "node", "text")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(words)
