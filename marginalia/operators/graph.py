@@ -11,11 +11,11 @@ from pyspark.sql.window import Window
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the checkpoint folder if the session has one; else keep the plan."""
+    """Cut the lineage in the checkpoint folder if the session has one; else keep the level's rows for the next one."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    return df
+    return df.persist()
 
 
 def node_id(text: Column) -> Column:
