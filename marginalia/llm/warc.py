@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
-from marginalia.llm.common import file_system, shared_path
+from marginalia.llm.common import file_system, shared_path, stored
 
 SCHEMA = "record_type string, page_id long, target_uri string, payload_digest string, refers_to long, full_length long, payload binary"
+#: Rows (digest, id) that may be broadcast: about 30 MB.
+SENT_ROWS = 300_000
 _URN = "urn:marginalia:page:"
 #: Columns that come from headers alone, so that filters on them need no payload.
 _HEADER_COLUMNS = ("record_type", "page_id", "target_uri", "payload_digest", "refers_to", "full_length")
@@ -28,13 +30,16 @@ def classify(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_c
     """Digest, record type and reference of every page.
 
     Of the pages with an equal payload of ``least`` bytes or more, the largest id is the response and the others revisit
-    it. The largest id of a digest is aggregated before the shuffle; rows with a hot payload meet it in a join that
-    Spark can split. Null html is an empty payload. Rows that repeat the largest id are responses too; where all ids of
+    it. The largest id of a digest is aggregated before the shuffle. Digests that repeat are sent to the pages while they are
+    few (``SENT_ROWS``); more of them meet the pages in a join that Spark can split where a payload is hot. Null html is an empty payload. Rows that repeat the largest id are responses too; where all ids of
     a payload are null, all are responses.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumns({"payload_digest": F.sha1(F.encode("html", "UTF-8")), "full_length": F.octet_length("html").cast("long")})
-    last = p.where(F.col("full_length") >= least).groupBy(F.col("payload_digest").alias("same")).agg(F.max("page_id").alias("keeper"))
+    last = p.where(F.col("full_length") >= least).groupBy(F.col("payload_digest").alias("same")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
+    last = stored(last.where("copies > 1").select("same", "keeper"), "warc-copies")
+    if last.count() <= SENT_ROWS:
+        last = F.broadcast(last)
     j = p.join(last, (p.payload_digest == last.same) & (p.full_length >= least), "left").drop("same")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return j.select("page_id", "url", "html", "payload_digest", "full_length", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
