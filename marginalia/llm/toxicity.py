@@ -60,6 +60,16 @@ def features(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, np.concatenate(pieces)[order], first
 
 
+def features_in_parts(ws: list[bytes], part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``features``, in four-byte numbers and without large arrays in between."""
+    parts, before = [], 0
+    for s in range(0, len(ws), part):
+        own, grams, first = features(ws[s : s + part])
+        parts.append((own.astype(np.int32), grams.astype(np.int32), (first + before).astype(np.int64)))
+        before += len(grams)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _bucket(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     code = np.full(len(at), n, np.uint32)
     for j in range(n):
@@ -184,19 +194,19 @@ def window_ids(ids: np.ndarray) -> np.ndarray:
     """Windows over one text's word numbers, -1 beyond its end."""
     at = windows(len(ids))
     grid = at[:, None] + np.arange(WIDTH)
-    return np.where(grid < len(ids), ids[np.minimum(grid, len(ids) - 1)], -1) if len(ids) else np.zeros((0, WIDTH), np.int64)
+    return np.where(grid < len(ids), ids[np.minimum(grid, len(ids) - 1)], -1).astype(np.int32) if len(ids) else np.zeros((0, WIDTH), np.int32)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int = 160, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Network | None:
     """A network from labelled texts; None where one label is missing."""
-    docs = [(words(t), y) for t, y in zip(texts, labels, strict=True)]
-    docs = [d for d in docs if d[0]]
-    y = np.array([d[1] for d in docs], np.float32)
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
+    y = np.array([v for v, i in zip(labels, ids, strict=True) if len(i)], np.float32)
+    ids = [i for i in ids if len(i)]
     if not len(y) or y.min() == y.max():
         return None
-    number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws, _ in docs]
-    vocab = own, grams, first = features(list(number))
+    vocab = own, grams, first = features_in_parts(list(number))
+    number.clear()
     net = Network(seed)
     net.odds_w = log_odds(ids, y, lambda u: own[u])
     net.odds_c = log_odds(ids, y, lambda u: grams[spread(first, len(grams), u)[0]])
@@ -226,15 +236,25 @@ def log_odds(ids, y, cells) -> np.ndarray:
     seen = np.zeros((2, CELLS), np.int32)
     for i, v in zip(ids, y, strict=True):
         seen[int(v), np.unique(cells(np.unique(i)))] += 1
-    odds = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
-    odds *= seen.sum(0) / (seen.sum(0) + 8)  # of pieces in few texts little is known
-    return np.rint(np.clip(odds, -3, 6) * 16).astype(np.int8)
-
-
-def scores_of(net: Network, vocab, wins: list[np.ndarray]) -> list[np.ndarray]:
-    proj = net.project(net.inputs(vocab))
+    out = np.zeros(CELLS, np.int8)
+    at = np.flatnonzero(seen.any(0))
+    there = seen[:, at].astype(np.float32)
+    odds = np.log((there[1] + 1) / (y.sum() + 2)) - np.log((there[0] + 1) / ((1 - y).sum() + 2))
+    odds *= there.sum(0) / (there.sum(0) + 8)  # of pieces in few texts little is known
+    out[at] = np.rint(np.clip(odds, -3, 6) * 16)
+    return out
+
+
+def scores_of(net: Network, vocab, wins: list[np.ndarray], part: int = 20_000) -> list[np.ndarray]:
+    own, grams, first = vocab
+    parts = []
+    for s in range(0, len(own), part):
+        e = min(len(own), s + part)
+        ends = first[e] if e < len(own) else len(grams)
+        parts.append(net.project(net.inputs((own[s:e], grams[first[s] : ends], first[s:e] - first[s]))))
+    proj = [np.concatenate(x) for x in zip(*parts, strict=True)]
     every = np.concatenate(wins)
-    got = np.concatenate([net.forward(proj, every[s : s + 4096]) for s in range(0, len(every), 4096)])
+    got = np.concatenate([net.forward(proj, every[s : s + 2048]) for s in range(0, len(every), 2048)])
     return np.split(got, np.cumsum([len(w) for w in wins])[:-1])
 
 
