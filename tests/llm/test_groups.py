@@ -221,7 +221,8 @@ def test_toxicity(spark, awkward, none_at_all):
     assert sum(r[i].predicted == truth[i] for i in held) >= 0.95 * len(held)
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in r.values())
     odd = toxicity.toxicity(awkward, labels).collect()
-    assert len(odd) == len(awkward_rows()) and all(x.score == 0 for x in odd)  # of other labels' documents none is here
+    assert len(odd) == len(awkward_rows()) and all(0 <= x.score <= 1 for x in odd)
+    assert all(x.score == 0 and x.predicted == 0 for x in odd if x.doc_id in (4, 5, 6))  # null, empty and blank
     assert toxicity.toxicity(none_at_all, labels).count() == 0
     assert toxicity.not_toxic(docs, labels).columns == docs.columns
 
