@@ -3,7 +3,7 @@
 The nearest vectors maximise q.x - |x|^2 / 2. The norm is kept as it is; the inner product is read from four-bit codes
 whose training and encoding weigh the part of the residual along x by ``eta``, as that part moves the product most.
 Queries and codes meet in blocks: a block of queries scans a block of codes with one table lookup for two codes, and
-only the best few of each block go on to exact distances.
+only the best few of each block go on to exact distances. Equal vectors are scanned as one, so that copies take one place.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
     The codebooks are fitted on at most ``sample`` vectors (by the hash of their ids); every row is coded. ``depth``
     candidates a query are reranked. Rows without an id, with an unusable vector or with another than the commonest
     length take no part; rows that repeat an id count once, with the nearest of their vectors; ties go to the smaller
-    id; an empty table gives no rows.
+    id; an empty table gives no rows. Candidates are distinct vectors: each brings the smallest ids of its copies.
     """
     spark = vectors.sparkSession
     all_rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -103,10 +103,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
     dim, n, n_queries = sizes[0]
     rows = all_rows.where(F.size("v") == dim)
     fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
-    shared = spark.sparkContext.broadcast(Quantizer(np.stack(fit["v"].to_numpy())))  # fixed size: 16 centroids a subspace
+    shared = spark.sparkContext.broadcast(Quantizer(np.unique(np.stack(fit["v"].to_numpy()), axis=0)))  # fixed size: 16 centroids a subspace
     n_blocks, n_query_blocks = math.ceil(n / block), math.ceil(n_queries / query_block)
     # Blocks are dealt at random, so that a query's nearest are spread over them; each keeps its share with room to spare.
-    keep = min(depth, 4 * math.ceil(depth / n_blocks) + 16)
+    keep = 1 + min(depth, 4 * math.ceil(depth / n_blocks) + 16)  # one more, as the query finds its own vector
+    # Equal vectors stand under the smallest of their ids; of the others k can matter, as one may be the query itself.
+    by_id = Window.partitionBy("hash", "v").orderBy("id")
+    first = rows.select("id", "v", F.xxhash64("v").alias("hash")).withColumn("r", F.dense_rank().over(by_id)).where(F.col("r") <= k + 1)
+    groups = first.groupBy("hash", "v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    groups = groups.select("hash", "v", F.col("ids")[0].alias("vec_id"), F.when(F.size("ids") > 1, F.slice("ids", 2, k)).alias("more"))
 
     def matrix(b):
         flat = b.column("v").combine_chunks() if isinstance(b.column("v"), pa.ChunkedArray) else b.column("v")
@@ -141,9 +146,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
 
         return run
 
-    codes = rows.select("id", "v").mapInArrow(coded, "id long, code binary, half double").repartition(n_blocks)
+    codes = groups.select(F.col("vec_id").alias("id"), "v").mapInArrow(coded, "id long, code binary, half double").repartition(n_blocks)
     code_blocks = codes.mapInArrow(packed(block, lambda b: b"".join(b.column("code").to_pylist()), lambda b: np.asarray(b.column("half"), np.float64).tobytes()), _BLOCK)
-    queries = rows.where("q").select("id", "v").dropDuplicates(["id"])
+    queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     query_blocks = queries.repartition(n_query_blocks).mapInArrow(packed(query_block, lambda b: matrix(b).tobytes(), lambda b: b""), _BLOCK)
     # Every block of queries scans every block of codes; copies of the query blocks are dealt over `ways` keys, so that no key takes all code blocks.
     ways = max(1, min(n_blocks, 64))
@@ -164,28 +169,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
                     score = np.repeat(-half[s : s + 2048, None].astype(np.float32), len(qi), 1)
                     for j in range(part.shape[1]):
                         score += tables[j][part[:, j]]
-                    m = min(keep + 1, len(part))  # one more, as the query may find itself
+                    m = min(keep, len(part))
                     top = np.argpartition(-score, m - 1, axis=0)[:m] if m < len(part) else np.repeat(np.arange(m)[:, None], len(qi), 1)
                     for have, new in zip(best, (np.repeat(qi[None], m, 0), i[s + top], np.take_along_axis(score, top, 0)), strict=True):
                         have.append(new)
                 q, c, v = (np.concatenate(x) for x in best)
-                v = np.where(q == c, -np.inf, v)
                 if len(v) > keep:
                     top = np.argpartition(-v, keep - 1, axis=0)[:keep]
                     q, c, v = (np.take_along_axis(x, top, 0) for x in (q, c, v))
-                ok = np.isfinite(v)
-                yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(c[ok]), pa.array(v[ok].astype(np.float64))], names=["query_id", "vec_id", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(c.ravel()), pa.array(v.ravel().astype(np.float64))], names=["query_id", "vec_id", "near"])
 
     found = pairs.mapInArrow(scanned, "query_id long, vec_id long, near double")
     by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("n", F.row_number().over(by_near)).where(F.col("n") <= depth).select("query_id", "vec_id")
-    both = short.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
+    short = found.withColumn("n", F.row_number().over(by_near)).where(F.col("n") <= depth + 1).select("query_id", "vec_id")
+    own = queries.select(F.col("id").alias("query_id"), F.xxhash64("v").alias("hash")).join(groups.select("hash", "vec_id"), "hash")
+    short = short.unionByName(own.select("query_id", "vec_id"))  # copies of the query are found whatever the codes say
+    both = short.join(groups.select("vec_id", "v", "more"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
 
     def exact(batches):
         for b in batches:
             t = [np.asarray(b.column(c).flatten(), np.float64).reshape(-1, dim) for c in ("v", "w")]
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(np.sqrt(((t[0] - t[1]) ** 2).sum(1)))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), b.column("more"), pa.array(np.sqrt(((t[0] - t[1]) ** 2).sum(1)))], names=["query_id", "vec_id", "more", "score"])
 
-    ranked = both.select("query_id", "vec_id", "v", "w").mapInArrow(exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    each = both.select("query_id", "vec_id", "more", "v", "w").mapInArrow(exact, "query_id long, vec_id long, more array<long>, score double")
+    # A repeated id may lead several groups, which stay together; k + 1 leading ids are enough, with their copies.
+    led = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.collect_list(F.struct("score", "more")).alias("groups"))
     by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = led.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k + 1).select("query_id", F.col("vec_id").alias("lead"), F.explode("groups").alias("g"))
+    copies = best.select("query_id", F.col("g.score").alias("score"), F.explode(F.concat(F.array("lead"), F.coalesce("g.more", F.array().cast("array<bigint>")))).alias("vec_id"))
+    ranked = copies.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return ranked.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -134,6 +134,31 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
 
 
+def test_neighbours_among_many_copies(spark):
+    g = np.random.default_rng(6)
+    n, near = 6000, 12
+    x = g.standard_normal((n, 12)).astype(np.float32)
+    order = g.permutation(n)
+    x[order[:2000]] = x[order[0]]
+    for j in range(near):  # queries close to the copies, each with six neighbours that are closer
+        mine = order[2000 + 7 * j : 2007 + 7 * j]
+        x[mine] = x[order[0]] + g.standard_normal(12) * 0.1 + g.standard_normal((7, 12)) * 0.01
+    asked = sorted([*order[:40].tolist(), *(int(order[2000 + 7 * j]) for j in range(near)), *order[5000:5030].tolist()])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.search(df, F.col("vec_id").isin(asked), k=10, block=1000, query_block=32).collect()
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(n), d))[:10].tolist()
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert len(mine) == 10
+        if q in order[: 2000 + 7 * near]:
+            assert mine == best
+        hit += len(set(mine) & set(best))
+    assert hit >= 0.95 * 10 * len(asked)
+
+
 def test_parallel_error_is_penalised():
     x = np.random.default_rng(4).standard_normal((2000, 16))
     share = []
