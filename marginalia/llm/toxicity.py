@@ -197,8 +197,11 @@ def window_ids(ids: np.ndarray) -> np.ndarray:
     return np.where(grid < len(ids), ids[np.minimum(grid, len(ids) - 1)], -1).astype(np.int32) if len(ids) else np.zeros((0, WIDTH), np.int32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int = 160, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Network | None:
-    """A network from labelled texts; None where one label is missing."""
+def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int = 160, batch: int = 128, rate: float = 0.05, seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> Network | None:
+    """A network from labelled texts; None where one label is missing.
+
+    ``weights`` of other and toxic texts say how many labelled rows each stands for: scores follow their balance.
+    """
     number: dict[bytes, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
     y = np.array([v for v, i in zip(labels, ids, strict=True) if len(i)], np.float32)
@@ -227,7 +230,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int
         for s in range(0, len(x), batch):
             net.step(vocab, x[order[s : s + batch]], t[order[s : s + batch]], rate)
     top = np.array([s.max() for s in scores_of(net, vocab, wins)])
-    net.scale = platt(top, y)
+    net.scale = platt(top, y, np.where(y == 1, weights[1], weights[0]))
     return net
 
 
@@ -258,13 +261,14 @@ def scores_of(net: Network, vocab, wins: list[np.ndarray], part: int = 20_000) -
     return np.split(got, np.cumsum([len(w) for w in wins])[:-1])
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and offset of a logistic fit, by Newton's steps with a small ridge."""
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Slope and offset of a logistic fit, by Newton's steps with a small ridge; weights count by their proportions."""
+    w = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
     b, design = np.array([1.0, 0.0]), np.stack([x, np.ones_like(x)], 1).astype(np.float64)
     for _ in range(30):
         p = sigmoid(design @ b)
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-2, 1e-2])
-        b = b - np.linalg.solve(hess, design.T @ (p - y) + 1e-2 * (b - [1, 0]))
+        hess = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag([1e-2, 1e-2])
+        b = b - np.linalg.solve(hess, design.T @ (w * (p - y)) + 1e-2 * (b - [1, 0]))
     return b if b[0] > 0 else np.array([1.0, 0.0])
 
 
@@ -321,13 +325,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def training_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all labelled rows that are not held out; toxic if any label of the document says so."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, toxic: int = 1500, other: int = 2500) -> tuple[float, float]:
+    """How many labelled rows a sampled other and a sampled toxic row stand for; the limits are those of ``training_rows``."""
+    n = {r.toxic: r["count"] for r in training_ids(labels).groupBy("toxic").count().collect()}  # two rows
+    return max(1.0, n.get(0, 0) / other), max(1.0, n.get(1, 0) / toxic)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other: int = 2500, most_bytes: int = 200_000) -> list[tuple[str, int]]:
     """Whole texts with labels, at most ``toxic`` and ``other`` of them, of at most ``most_bytes`` each.
 
     The ids are taken in the order of their hash from all labelled rows that are not held out; a document labelled more
     than once counts as toxic if any label says so.
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = training_ids(labels)
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     some = ids.where("toxic = 1").orderBy(*by_hash).limit(toxic).union(ids.where("toxic = 0").orderBy(*by_hash).limit(other))
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(some), "doc_id")  # as many ids as the limits
@@ -338,7 +353,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other:
 def scored(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """``docs`` with all its columns and a last one, ``_score``; see ``toxicity``."""
     rows = training_rows(docs, labels, **limits)
-    net = train([t for t, _ in rows], [y for _, y in rows])
+    weights = class_weights(labels, **{k: v for k, v in limits.items() if k != "most_bytes"})
+    net = train([t for t, _ in rows], [y for _, y in rows], weights=weights)
     if net is not None:
         del net.sums
     held = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: two tables of 65,536 rows
@@ -356,6 +372,7 @@ def scored(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """Score of every whole text, learned from a bounded sample of the labelled rows that are not held out.
 
+    Where a class exceeds its limit, the scores still follow the balance of all labelled rows, not the sample's.
     A null or blank text scores 0, as does every text where the labels lack one of the classes. A null id counts as not
     held out. Repeated rows score alike; only id and text are read, other columns are left out.
     """

@@ -252,6 +252,37 @@ def test_toxicity(spark, awkward, none_at_all):
     assert toxicity.not_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxicity_keeps_the_balance_of_all_labels(spark, monkeypatch):
+    rows = toxic_corpus(1000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    kept = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    seen, real = [], toxicity.train
+
+    def train(texts, y, **more):
+        seen.append((y.count(0), y.count(1), more["weights"]))
+        return real(texts, y, **more)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    for limits in ({}, {"toxic": 100, "other": 40}):
+        toxicity.toxicity(docs, labels, **limits)
+    assert seen == [(len(kept) - sum(kept), sum(kept), (1.0, 1.0)), (40, 100, ((len(kept) - sum(kept)) / 40, sum(kept) / 100))]
+    texts, y = zip(*((t, y) for _, t, y in rows[:200]), strict=True)
+    even, rare = (real(list(texts), list(y), epochs=1, least_steps=4, weights=w).scale for w in ((1.0, 1.0), (20.0, 1.0)))
+    assert -rare[1] / rare[0] > -even[1] / even[0]  # a rarer class needs a higher logit
+
+
+def test_weighted_fit_of_a_sample_is_that_of_all_rows():
+    g = np.random.default_rng(5)
+    y = np.repeat([0.0, 1.0], [9000, 1000])
+    x = g.standard_normal(10_000) + 2 * y
+    part = np.concatenate([g.choice(9000, 900, replace=False), np.arange(9000, 10_000)])
+    full, plain = toxicity.platt(x, y), toxicity.platt(x[part], y[part])
+    fit = toxicity.platt(x[part], y[part], np.where(y[part] == 1, 1.0, 10.0))
+    cut = lambda b: -b[1] / b[0]
+    assert abs(cut(fit) - cut(full)) < 0.2 < 0.8 < abs(cut(plain) - cut(full))
+
+
 def test_windows_cover_the_whole_text():
     for n in (1, 15, 16, 31, 32, 33, 48, 49, 1000):
         at = toxicity.windows(n)
