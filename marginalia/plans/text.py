@@ -175,7 +175,7 @@ def pattern_matches(spark, sf):
 @query()
 def relation_pipeline(spark, sf):
     docs = read(spark, sf, "documents")
-    return extraction.pipeline(docs, extraction.capitalised_entities(docs, 6)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")
+    return extraction.pipeline(docs, extraction.capitalised_entities(docs, None)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")
 
 
 _COUNT_IN = "len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w IN ({terms})))"

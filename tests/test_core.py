@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import bias, catalog, credibility, ethics, extraction, graph, learning, privacy, vectors
+from marginalia.plans import text
 from marginalia.sources import readers
 from marginalia.streaming import state
 
@@ -93,6 +94,13 @@ def test_references_and_antecedents(spark):
     assert "It (=Nova)" in one(extraction.rewrite(df, extraction.antecedents(refs, mentions))).text
 
 
+def test_relations_take_every_entity(spark, tmp_path):
+    names = "Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Sigma".split()
+    spark.createDataFrame([(1, " ".join(names[:6] * 2) + ". " + " ".join(names[6:]) + ".")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = {frozenset((r.source, r.target)) for r in text.relation_pipeline(spark, str(tmp_path)).collect()}
+    assert pairs == {frozenset((a, b)) for part in (names[:6], names[6:]) for a in part for b in part if a < b}
+
+
 def test_typed_relations_both_ways(spark):
     p = spark.createDataFrame([(1, 0, "A", "B", "TECHNOLOGY", "METHOD", "A unlike B", 0.6), (1, 1, "A", "B", "PERSON", "DATASET", "A unlike B", 0.6)], "doc_id int, sent_id int, source string, target string, source_type string, target_type string, sentence string, base double")
     got = sorted((r.source, r.target, r.type) for r in extraction.typed_relations(p).collect())
