@@ -101,6 +101,20 @@ def test_relations_take_every_entity(spark, tmp_path):
     assert pairs == {frozenset((a, b)) for part in (names[:6], names[6:]) for a in part for b in part if a < b}
 
 
+def test_relations_by_dependency_and_reference(spark):
+    df = spark.createDataFrame([(1, "Nova uses Graph. It extended Plan."), (2, "Then Nova quietly extended Graph. Mira ran with Plan.")], "doc_id int, text string")
+    ents = spark.createDataFrame([(i, n, t) for i in (1, 2) for n, t in enumerate(("Nova", "Graph", "Plan", "Mira"))], "doc_id int, ord int, text string")
+    m = sorted((r.text, r.start, r.end, r.sent_id) for r in extraction.mentions(df, ents).where("doc_id = 1").collect())
+    assert m == [("Graph", 10, 15, 0), ("Nova", 0, 4, 0), ("Plan", 29, 33, 1)]
+    text = {r.doc_id: r.text for r in extraction.resolved(df, ents).collect()}
+    assert text[1] == "Nova uses Graph. It (=Nova) extended Plan."
+    got = {(r.doc_id, r.source, r.target, r.type, r.confidence, r.method) for r in extraction.pipeline(df, ents).collect()}
+    assert (1, "Nova", "Graph", "USES_METHOD", 0.8, "dependency") in got
+    assert (1, "Nova", "Plan", "RELATED_TO", 0.8, "dependency") in got
+    assert (2, "Nova", "Graph", "RELATED_TO", 0.8, "dependency") in got
+    assert not any(c == 0.5 and {s, t} == {"Nova", "Graph"} for _, s, t, _, c, _ in got)
+
+
 def test_typed_relations_both_ways(spark):
     p = spark.createDataFrame([(1, 0, "A", "B", "TECHNOLOGY", "METHOD", "A unlike B", 0.6), (1, 1, "A", "B", "PERSON", "DATASET", "A unlike B", 0.6)], "doc_id int, sent_id int, source string, target string, source_type string, target_type string, sentence string, base double")
     got = sorted((r.source, r.target, r.type) for r in extraction.typed_relations(p).collect())
