@@ -52,6 +52,7 @@ def word_count(text: Column) -> Column:
 def pack(docs: DataFrame, buckets: int = 12, longest: int = 2048, budget: int = 65_536, length: Column | None = None, group_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a segment with its bucket, batch and slot.
 
+    Tokens are whitespace-separated pieces unless ``length`` gives another count; ``longest`` and ``budget`` are in its unit.
     A document longer than ``longest`` tokens becomes segments of that length and a rest, so nothing is cut off; one
     without tokens (null or blank) is a segment of length 0. The histogram has ``longest`` + 1 lengths at most. Segments
     of a bucket are dealt by hash over groups of about ``group_rows``; a batch holds budget // bucket_tokens segments of
