@@ -43,6 +43,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that no column of a user's table has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

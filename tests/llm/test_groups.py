@@ -56,14 +56,32 @@ def variants(n, seed=3):
     return out
 
 
-@pytest.mark.parametrize("rows", [[(i, t) for i, t, *_ in awkward_rows()], variants(25)], ids=["awkward", "families"])
-def test_near_duplicates(spark, rows):
-    want, sizes = groups(rows)
+@pytest.mark.parametrize(("rows", "percent"), [([(i, t) for i, t, *_ in awkward_rows()], 80), (variants(25), 80), (variants(25), 60), (variants(25), 90)], ids=["awkward", "families", "at 60", "at 90"])
+def test_near_duplicates(spark, rows, percent, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 6)  # families of many blocks
+    want, sizes = groups(rows, percent)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, key int").repartition(3)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df, words=4).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df, words=4, percent=percent).collect())
     assert got == sorted((i is None, i or 0, n, -1 if c is None else c, i is None or i == c) for (i, _), n, c in zip(rows, sizes, want, strict=True))
 
 
+def test_intersections_of_blocks_join_components():
+    rnd = random.Random(8)
+    sets = [np.array(sorted(rnd.sample(range(40), rnd.randint(1, 40))), np.uint64) for _ in range(60)]
+    side, root = np.array([rnd.randrange(2) for _ in sets]), np.array([rnd.randrange(20) for _ in sets])
+
+    def parts(links):
+        top = dict(zip(range(20), range(20), strict=True))
+        for a, b in links:
+            x, y = top[root[a]], top[root[b]]
+            top = {k: x if v == y else v for k, v in top.items()}
+        return sorted(map(sorted, ({k for k in top if top[k] == v} for v in set(top.values()))))
+
+    pairs = [(a, b) for a in range(60) for b in range(60) if side[a] < side[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))]
+    got = neardup.joining(sets, side, root, 50)
+    assert set(got) <= set(pairs) and parts(got) == parts(pairs) and len(got) < 20 < len(pairs)
+
+
 def test_deduplicated_keeps_one_row_of_each_group(spark):
     rows = [(i, t) for i, t, *_ in awkward_rows()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -78,11 +96,17 @@ def test_keys_find_every_pair_within_the_distance():
     a = g.integers(0, 256, (300, 2 * neardup.KEYED + neardup.MORE), dtype=np.uint8)
     b = a.copy()
     s = b[:, : 2 * neardup.KEYED].view("<u2")
+    lay = neardup.Layout(80)
     for row in range(len(b)):
-        for j in g.choice(neardup.KEYED, 2 * neardup.CHUNKS - 1, replace=False):
+        for j in g.choice(neardup.KEYED, 2 * lay.chunks - 1, replace=False):
             s[row, j] ^= 1
-    assert all(set(x) & set(y) for x, y in zip(neardup.keys_of(a), neardup.keys_of(b), strict=True))
-    assert (neardup.distances(a, b) == 2 * neardup.CHUNKS - 1).all()
+    assert all(set(x) & set(y) for x, y in zip(lay.keys(a), lay.keys(b), strict=True))
+    assert (neardup.distances(a, b) == 2 * lay.chunks - 1).all()
+    for percent in range(50, 101, 5):
+        lay, j = neardup.Layout(percent), percent / 100
+        assert (1 - j**lay.length - lay.length * j ** (lay.length - 1) * (1 - j)) ** lay.chunks <= 5e-5
+    with pytest.raises(ValueError, match="percent"):
+        neardup.Layout(30)
 
 
 def test_warc_round_trip(spark):
