@@ -11,18 +11,21 @@ own choice of window.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from marginalia.llm.common import free_names
 
 WIDTH, STRIDE = 32, 16  # words of a window, words from one window to the next
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 1 << 16, 8
 CELLS = 1 << 21  # of the tables of log-odds, so many that a piece seldom shares its cell; a hash's low bits are its bucket
 PREFIXES = (5, 6, 7, 8, 10)  # bytes of a word's beginnings
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 120_000  # projections of words that a worker keeps: 25 MB
+_PART_WORDS = 200_000  # words scored at once; one longer text is a part of its own
 
 
 #: ASCII characters other than letters and digits part words; all bytes from 0x80 on belong to them.
@@ -299,25 +302,33 @@ class Scorer:
             out = [[number[w] for w in ws] if -1 in o else o for ws, o in zip(texts, out, strict=True)]
         return [np.array(o, np.int64) for o in out]
 
-    def __call__(self, texts: list[str], some: int = 400) -> np.ndarray:
-        """Scores from 0 to 1; texts without words get the score of the lowest logit (0)."""
+    def __call__(self, texts: pa.Array, some: int = 400) -> np.ndarray:
+        """Scores from 0 to 1; texts without words (null ones too) get the score of the lowest logit (0)."""
         result = np.zeros(len(texts))
         if self.net is None:
             return result
-        split = [words(t) for t in texts]
-        order = [i for i, ws in enumerate(split) if ws]
-        while order:
-            part, total = [], 0
-            while order and (not part or (len(part) < some and total + len(split[order[-1]]) <= 400_000)):
-                part.append(order.pop())
-                total += len(split[part[-1]])
-            ids = self._numbers([split[i] for i in part])
-            best = np.full(len(part), -np.inf)
-            wins = [window_ids(x) for x in ids]
-            every, whose = np.concatenate(wins), np.repeat(np.arange(len(part)), [len(w) for w in wins])
-            for s in range(0, len(every), 2048):
-                np.maximum.at(best, whose[s : s + 2048], self.net.forward(self.proj, every[s : s + 2048]))
-            result[part] = sigmoid(self.net.scale[0] * best + self.net.scale[1])
+        for s in range(0, len(texts), some):
+            split = [words(t or "") for t in texts.slice(s, some).to_pylist()]
+            order = [i for i, ws in enumerate(split) if ws]
+            while order:
+                part, total = [], 0
+                while order and (not part or total + len(split[order[-1]]) <= _PART_WORDS):
+                    part.append(order.pop())
+                    total += len(split[part[-1]])
+                ids = self._numbers([split[i] for i in part])
+                for i in part:
+                    split[i] = []
+                best = np.full(len(part), -np.inf)
+                counts = [len(windows(len(x))) for x in ids]
+                flat, start = np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+                whose = np.repeat(np.arange(len(part)), counts)
+                at = np.concatenate([windows(len(x)) for x in ids])
+                for w in range(0, len(at), 2048):
+                    grid, own = at[w : w + 2048, None] + np.arange(WIDTH), whose[w : w + 2048]
+                    inside = grid < np.diff(start)[own][:, None]
+                    rows = np.where(inside, flat[np.minimum(start[own][:, None] + grid, len(flat) - 1)], -1)
+                    np.maximum.at(best, own, self.net.forward(self.proj, rows))
+                result[s + np.array(part)] = sigmoid(self.net.scale[0] * best + self.net.scale[1])
         return result
 
 
@@ -336,37 +347,41 @@ def class_weights(labels: DataFrame, toxic: int = 1500, other: int = 2500) -> tu
     return max(1.0, n.get(0, 0) / other), max(1.0, n.get(1, 0) / toxic)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other: int = 2500, most_bytes: int = 200_000) -> list[tuple[str, int]]:
-    """Whole texts with labels, at most ``toxic`` and ``other`` of them, of at most ``most_bytes`` each.
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other: int = 2500, most_chars: int = 32_000) -> list[tuple[str, int]]:
+    """Texts with labels, at most ``toxic`` and ``other`` of them; scores are learned from these alone.
 
     The ids are taken in the order of their hash from all labelled rows that are not held out; a document labelled more
-    than once counts as toxic if any label says so.
+    than once counts as toxic if any label says so. A text longer than ``most_chars`` takes part with so many of its
+    characters, as eight pieces evenly spaced from its beginning to its end.
     """
     ids = training_ids(labels)
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     some = ids.where("toxic = 1").orderBy(*by_hash).limit(toxic).union(ids.where("toxic = 0").orderBy(*by_hash).limit(other))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(some), "doc_id")  # as many ids as the limits
+    piece = most_chars // 8
+    starts = [(F.floor((F.length("text") - piece) * (k / 7)) + 1).cast("int") for k in range(8)]
+    spread_out = F.concat_ws(" ", *(F.col("text").substr(at, F.lit(piece)) for at in starts))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")  # as many ids as the limits
+    texts = texts.select("doc_id", "toxic", F.when(F.length("text") > most_chars, spread_out).otherwise(F.col("text")).alias("text"))
     first = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return [(r.text, r.toxic) for r in first.orderBy("doc_id").collect()]
+    return [(r.text, r.toxic) for r in first.orderBy("doc_id").toLocalIterator()]
 
 
-def scored(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """``docs`` with all its columns and a last one, ``_score``; see ``toxicity``."""
+def scored(docs: DataFrame, labels: DataFrame, name: str, **limits) -> DataFrame:
+    """``docs`` with all its columns and a last one, ``name``, its score; see ``toxicity``. Only the text goes to Python."""
     rows = training_rows(docs, labels, **limits)
-    weights = class_weights(labels, **{k: v for k, v in limits.items() if k != "most_bytes"})
+    weights = class_weights(labels, **{k: v for k, v in limits.items() if k != "most_chars"})
     net = train([t for t, _ in rows], [y for _, y in rows], weights=weights)
     if net is not None:
         del net.sums
     held = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: two tables of 65,536 rows
-    text = docs.columns.index("text")
 
-    def run(batches):
-        score = Scorer(held.value)
-        for b in batches:
-            s = score([t or "" for t in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "_score"])
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(held.value)
+        for texts in batches:
+            yield pa.array(scorer(texts))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.withColumn(name, score("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
@@ -376,11 +391,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     A null or blank text scores 0, as does every text where the labels lack one of the classes. A null id counts as not
     held out. Repeated rows score alike; only id and text are read, other columns are left out.
     """
-    s = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, **limits)
+    s = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "score", **limits)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return s.select("doc_id", held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return s.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """The rows that are not predicted toxic, with their columns."""
-    return scored(docs, labels, **limits).where("_score < 0.5").drop("_score")
+    """The rows that are not predicted toxic, with their columns, whatever these are called."""
+    (score,) = free_names(docs.columns, "score")
+    return scored(docs, labels, score, **limits).where(F.col(score) < 0.5).select(*(f"`{c}`" for c in docs.columns))
