@@ -1,17 +1,24 @@
 """Packing by optimal length buckets.
 
-The histogram of lengths is aggregated over all segments; dynamic programming over it places the bucket boundaries of
-least padding; inside each bucket, batches are filled up to a token budget.
+Texts are cut into segments of at most ``longest`` tokens. The histogram of the segments' lengths is aggregated over all
+of them; dynamic programming over it places the bucket boundaries of least padding; inside each bucket, batches are
+filled up to a token budget.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCHEMA = "doc_id long, segment int, n_tokens long, bucket int, bucket_tokens long, batch string, slot int, padding long"
+from marginalia.llm.common import stored
+from marginalia.llm.tokens import counter_of
+
+SCHEMA = "doc_id long, segment int, n_tokens long, bucket int, bucket_tokens long, batch string, slot int, padding long, text string"
 
 
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
@@ -45,38 +52,53 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> tupl
     return bounds[::-1], int(cost[n])
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+def segments(docs: DataFrame, tokenizer_path: str, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, segment, n_tokens, text): the parts of every text, whose concatenation is the text.
+
+    Counts are the tokenizer library's for the part by itself. A document without tokens (null or blank) is one part.
+    """
+
+    @F.arrow_udf("array<struct<n:long,text:string>>")
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = counter_of(tokenizer_path)
+        kind = pa.list_(pa.struct([("n", pa.int64()), ("text", pa.string())]))
+        for texts in batches:
+            out = []
+            for s in range(0, len(texts), 500):
+                rows = ((t or "") for t in texts.slice(s, 500).to_pylist())
+                out.append(pa.array([[{"n": n, "text": t[a:b]} for a, b, n in counter.segments(t, longest)] for t in rows], kind))
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
+
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), parts(F.col(text_col)).alias("parts"))
+    return cut.select("doc_id", F.posexplode("parts").alias("segment", "part")).select("doc_id", "segment", F.col("part.n").alias("n_tokens"), F.col("part.text").alias("text"))
 
 
-def pack(docs: DataFrame, buckets: int = 12, longest: int = 2048, budget: int = 65_536, length: Column | None = None, group_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a segment with its bucket, batch and slot.
+def pack(docs: DataFrame, tokenizer_path: str, buckets: int = 12, longest: int = 2048, budget: int = 65_536, group_batches: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a segment with its text, bucket, batch and slot.
 
-    Tokens are whitespace-separated pieces unless ``length`` gives another count; ``longest`` and ``budget`` are in its unit.
-    A document longer than ``longest`` tokens becomes segments of that length and a rest, so nothing is cut off; one
-    without tokens (null or blank) is a segment of length 0. The histogram has ``longest`` + 1 lengths at most. Segments
-    of a bucket are dealt by hash over groups of about ``group_rows``; a batch holds budget // bucket_tokens segments of
-    one group, so that no task takes a bucket. Repeated rows and null ids are packed like any others.
+    A document longer than ``longest`` tokens becomes several segments, so nothing is cut off. The histogram has
+    ``longest`` + 1 lengths at most. A batch holds budget // bucket_tokens segments, each padded to the bucket's length.
+    Segments of a bucket are dealt by hash over groups of about ``group_batches`` batches, and only the last batch of a
+    group may be less than full, so no task takes a bucket. Rows are numbered, so repeated rows and null ids are dealt
+    like any others.
     """
-    n = F.col("n")
-    parts = F.greatest(F.ceil(n / longest), F.lit(1)).cast("int")
-    lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), (word_count(F.col(text_col)) if length is None else length).cast("long").alias("n"))
-    segments = lengths.select("doc_id", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("segment")).select("doc_id", "segment", F.least(n - F.col("segment") * longest, F.lit(longest)).alias("n_tokens"))
-    histogram = {r.n_tokens: r["count"] for r in segments.groupBy("n_tokens").count().collect()}  # longest + 1 rows at most
+    rows = stored(segments(docs, tokenizer_path, longest, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "packing-segments")
+    histogram = {r.n_tokens: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # longest + 1 rows at most
     if not histogram:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     bounds, _ = best_boundaries(list(histogram), list(histogram.values()), buckets)
     in_bucket = np.zeros(len(bounds), np.int64)
     for size, count in histogram.items():
         in_bucket[np.searchsorted(bounds, size)] += count
+    rooms = np.array([max(1, budget // max(1, b)) for b in bounds])
     index = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("n_tokens")))
     at = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("bucket") + 1)
-    dealt = segments.withColumn("bucket", index).withColumn("group", F.pmod(F.xxhash64("doc_id", "segment"), at(-(-in_bucket // group_rows))))
-    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy(F.xxhash64("segment", "doc_id"), "doc_id", "segment", "n_tokens")) - 1
-    room = at([max(1, budget // max(1, b)) for b in bounds])
+    groups = np.maximum(1, in_bucket // (rooms * group_batches))
+    dealt = rows.withColumn("bucket", index).withColumn("group", F.pmod(F.xxhash64("uid"), at(groups)))
+    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("uid")) - 1
     placed = dealt.withColumn("place", place)
     return placed.select(
         "doc_id", "segment", "n_tokens", "bucket", at(bounds).cast("long").alias("bucket_tokens"),
-        F.concat_ws("-", "bucket", "group", F.floor(F.col("place") / room)).alias("batch"), (F.col("place") % room).cast("int").alias("slot"),
-        (at(bounds) - F.col("n_tokens")).alias("padding"),
+        F.concat_ws("-", "bucket", "group", F.floor(F.col("place") / at(rooms))).alias("batch"), (F.col("place") % at(rooms)).cast("int").alias("slot"),
+        (at(bounds) - F.col("n_tokens")).alias("padding"), "text",
     )

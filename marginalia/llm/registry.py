@@ -16,7 +16,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.tokens import token_counts
 
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
-    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars", "prefix_table")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from marginalia.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marginalia.llm import ann, mixing, neardup, packing, toxicity, warc
 from tests.llm.conftest import awkward_rows
 
+PATH = public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -211,22 +214,25 @@ def test_boundaries_are_the_best():
     assert packing.best_boundaries([], [], 3) == ([], 0)
 
 
-def test_packing_keeps_all_tokens(awkward, none_at_all):
-    got = packing.pack(awkward, buckets=4, longest=500, budget=2000, group_rows=5).collect()
-    n = {}
-    for r in got:
-        n[r.doc_id] = n.get(r.doc_id, 0) + r.n_tokens
-        assert r.n_tokens <= r.bucket_tokens and r.padding == r.bucket_tokens - r.n_tokens
-    want = {}
-    for i, t, *_ in awkward_rows():
-        want[i] = want.get(i, 0) + len(re.findall(r"\S+", t or "", re.A))
-    assert n == want
+def test_packing_keeps_all_texts_and_fills_its_budget(spark, awkward, none_at_all):
+    lib = Tokenizer.from_file(PATH)
+    got = packing.pack(awkward, PATH, buckets=4, longest=500, budget=2000, group_batches=2).collect()
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = {}
+    for r in sorted(got, key=lambda r: (r.doc_id or 0, r.segment)):
+        assert r.n_tokens == count(r.text) <= r.bucket_tokens and r.padding == r.bucket_tokens - r.n_tokens
+        if r.doc_id not in (2, None):  # ids of one row
+            texts[r.doc_id] = texts.get(r.doc_id, "") + r.text
+    assert texts == {i: t or "" for i, t, *_ in awkward_rows() if i not in (2, None)}
     batches = {}
     for r in got:
         batches.setdefault(r.batch, []).append(r)
     for b in batches.values():
         assert len({r.bucket for r in b}) == 1 and len(b) <= max(1, 2000 // max(1, b[0].bucket_tokens)) and sorted(r.slot for r in b) == list(range(len(b)))
-    assert packing.pack(none_at_all).count() == 0
+    assert packing.pack(none_at_all, PATH).count() == 0
+    many = spark.createDataFrame([(None, "one two three four")] * 5000, "doc_id long, text string")
+    full = packing.pack(many, PATH, budget=400, group_batches=4).groupBy("batch").count().collect()
+    assert sum(r["count"] for r in full) == 5000 and sum(r["count"] == 100 for r in full) >= 0.6 * len(full)
 
 
 def test_mixing_meets_targets(spark, awkward, none_at_all):

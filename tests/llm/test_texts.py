@@ -1,6 +1,7 @@
 """Token counts, license scans, secret scans and media columns against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from marginalia.llm import licenses, media, secrets
-from marginalia.llm.tokens import PrefixCounter, pack_table, token_counts, unpack_table
+from marginalia.llm.tokens import PrefixCounter, count_prefix, cut, pack_table, token_counts, unpack_table
 from tests.llm.conftest import awkward_rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -31,20 +32,48 @@ def test_token_counts_are_the_librarys(awkward, none_at_all):
     for r, (_, t) in zip(got, texts(), strict=True):
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 100)
-        ends, counts = unpack_table(bytes(r["prefix_table"]))
-        assert (counts[-1] if len(counts) else 0) == n
+        table = unpack_table(bytes(r["prefix_table"]))
+        assert table.sum() == n and len(table) == len(t)
+        if len(t) < 300:
+            each = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+            assert r["cut_chars"] == max(i for i, k in enumerate(each) if k <= 100)
         assert len(lib.encode(t[: r["cut_chars"]], add_special_tokens=False).ids) <= 100
     assert token_counts(none_at_all, PATH).count() == 0
 
 
-def test_every_prefix_without_encoding_again():
+def fuzz(n, seed=3):
+    """Texts of many scripts, marks, contractions, special strings cut short, and white space of all kinds."""
+    rnd = random.Random(seed)
+    codes = [*range(32, 127), *range(32, 127), *range(0xA0, 0x600), *range(0x900, 0xA00), *range(0x3040, 0x3100), *range(0x4E00, 0x4E80), *range(0xAC00, 0xAC40), *range(0x1100, 0x1200)]
+    codes += [0x1F600, 0x1F64F, 0x300, 0x301, 0x323, 0x130, 0x3A3, 0x85, 0x1C, 0x200B, 0xFEFF, 0x2028, 0xA7CB, 0xA7DC, 0x32808]
+    usual = ["the ", "ing", " ", "'re", "'s", "\n", "123", "éa", "<|endoftext|>", "<|end", "Σ", "ΑΣ ", "é", "«Ən yaxşı» "]
+    return ["".join(chr(rnd.choice(codes)) if rnd.random() < 0.5 else rnd.choice(usual) for _ in range(rnd.randint(1, 40))) for _ in range(n)]
+
+
+def test_every_prefix_is_the_librarys():
     c = PrefixCounter(PATH)
-    for t in ("It's we'll go!! now''s 12a thread-safe", "Ünïcode straße  x ", ""):
+    for t in ("It's we'll go!! now''s 12a thread-safe", "Ünïcode straße  x ", "", "ab" * 700, *fuzz(400)):
         table = unpack_table(pack_table(c.table(t)))
-        assert [c.count_prefix(t, table, i) for i in range(len(t) + 1)] == c.encode_counts([t[:i] for i in range(len(t) + 1)])
+        want = c.encode_counts([t[:i] for i in range(len(t) + 1)])
+        assert [0, *table.cumsum().tolist()] == want
+        assert count_prefix(table, len(t) // 2) == want[len(t) // 2]
         for budget in (0, 1, 3, 100):
-            cut = c.cut(table, budget)
-            assert c.encode_counts([t[:cut]])[0] <= budget
+            assert cut(table, budget) == max(i for i, k in enumerate(want) if k <= budget)
+
+
+def test_every_character_beside_letters():
+    c = PrefixCounter(PATH)
+    texts = [f"a{chr(x)}b {chr(x)}" for x in range(0x3000) if not 0xD800 <= x < 0xE000]
+    assert [int(c.table(t).sum()) for t in texts] == c.encode_counts(texts)
+
+
+def test_segments_count_as_texts_of_their_own():
+    c = PrefixCounter(PATH)
+    for t in (*fuzz(150, 5), "word " * 300, "solid" * 300, "", "  "):
+        for longest in (3, 17):
+            got = c.segments(t, longest)
+            assert "".join(t[a:b] for a, b, _ in got) == t and [k for *_, k in got] == c.encode_counts([t[a:b] for a, b, _ in got])
+            assert all(k <= longest or b - a == 1 or k <= longest + 2 for a, b, k in got)
 
 
 def test_license_scan(awkward, none_at_all):
