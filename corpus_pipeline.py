@@ -3,6 +3,7 @@ are mixed to target weights, and what is left is packed. Each stage's result is
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.common import stored
@@ -32,8 +33,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs, mix(docs, labels, WEIGHTS))
 
 
-def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -41,7 +42,7 @@ STAGES = [
     ("near_dedup", drop_near_duplicates),
     ("secrets", mask_secrets),
     ("mixing", mix_domains),
-    ("packing", pack_lengths),
+    ("packing", pack_batches),
 ]
 ORACLE_SQL = None  # the classifier and the network are not SQL; tests hold the stages against brute force
 
