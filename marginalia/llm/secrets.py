@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import stored
+from marginalia.llm.common import free_names, stored
 
 #: Kinds in their order, with pattern, the group that holds the value, and its least length.
 KINDS = (
@@ -36,7 +36,9 @@ def _pieces(text: Column, kind: int) -> Column:
 def find(docs: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates): one row a document and one a candidate with its code-point span, joined by ``row``.
 
-    Positions are running sums over a row's matches, so that thousands of matches in one text cost no more each.
+    ``owner`` and ``repository`` say whose a document is (columns or names); where a table knows no better, its source
+    stands for the owner, and source and language together for the repository. Positions are running sums over a row's
+    matches, so that thousands of matches in one text cost no more each.
     """
     owner = F.col(owner) if isinstance(owner, str) else owner
     repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else repository
@@ -104,15 +106,19 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     )
 
 
-def masked(docs: DataFrame, owner: Column | str = "source", mask: str = "[secret]", **scan_options) -> DataFrame:
+def masked(docs: DataFrame, owner: Column | str = "source", mask: str = "[secret]", text_col: str = "text", **scan_options) -> DataFrame:
     """``docs`` with every value that is not a widely copied example replaced by ``mask``; columns as before.
 
-    Rows without such values pass as they are. Values that overlap are masked as one.
+    Rows without such values pass as they are. Values that overlap are masked as one. The columns may have any names.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "secrets-docs")
-    own = stored(scan(rows, owner, row_col="_row", **scan_options).where(F.size("own") > 0).select(F.col("row").alias("_row"), F.col("own").alias("_own")), "secrets-own")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    between = lambda acc, s: F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.when(s["end"] <= acc["at"], "").when(s["start"] < acc["at"], "").otherwise(F.concat(between(acc, s), F.lit(mask)))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-    text = F.aggregate("_own", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.join(own, "_row", "left").withColumn("text", F.when(F.col("_own").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    row, own = free_names(docs.columns, "row", "own")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-docs")
+    found = scan(rows, owner, text_col=text_col, row_col=row, **scan_options).where(F.size("own") > 0)
+    values = stored(found.select(F.col("row").alias(row), F.col("own").alias(own)), "secrets-own")
+    t, none = F.col(f"`{text_col}`"), F.lit("")
+    start = F.struct(none.alias("out"), F.lit(0).cast("long").alias("at"))
+    between = lambda acc, s: F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+    step = lambda acc, s: F.struct(F.concat(acc["out"], F.when(s["start"] < acc["at"], none).otherwise(F.concat(between(acc, s), F.lit(mask)))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    text = F.aggregate(F.col(own), start, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
+    new = F.when(F.col(own).isNotNull(), text).otherwise(t).alias(text_col)
+    return rows.join(values, row, "left").select(*(new if c == text_col else F.col(f"`{c}`") for c in docs.columns))
