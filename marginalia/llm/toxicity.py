@@ -10,6 +10,7 @@ own choice of window.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -347,8 +348,8 @@ def class_weights(labels: DataFrame, toxic: int = 1500, other: int = 2500) -> tu
     return max(1.0, n.get(0, 0) / other), max(1.0, n.get(1, 0) / toxic)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other: int = 2500, most_chars: int = 32_000) -> list[tuple[str, int]]:
-    """Texts with labels, at most ``toxic`` and ``other`` of them; scores are learned from these alone.
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other: int = 2500, most_chars: int = 32_000) -> DataFrame:
+    """(doc_id, toxic, text) rows, at most ``toxic`` and ``other`` of them; scores are learned from these alone.
 
     The ids are taken in the order of their hash from all labelled rows that are not held out; a document labelled more
     than once counts as toxic if any label says so. A text longer than ``most_chars`` takes part with so many of its
@@ -362,18 +363,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = 1500, other:
     spread_out = F.concat_ws(" ", *(F.col("text").substr(at, F.lit(piece)) for at in starts))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")  # as many ids as the limits
     texts = texts.select("doc_id", "toxic", F.when(F.length("text") > most_chars, spread_out).otherwise(F.col("text")).alias("text"))
-    first = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return [(r.text, r.toxic) for r in first.orderBy("doc_id").toLocalIterator()]
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, **limits) -> Network | None:
+    """The network, trained by one task on the bounded rows of ``training_rows``; the driver only sees its tables."""
+    weights = class_weights(labels, **{k: v for k, v in limits.items() if k != "most_chars"})
+
+    def run(batches):
+        texts, y = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            y += b.column("toxic").to_pylist()
+        net = train(texts, y, weights=weights)
+        if net is not None:
+            del net.sums
+        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
+
+    rows = training_rows(docs, labels, **limits).repartition(1).sortWithinPartitions("doc_id")
+    return pickle.loads(bytes(rows.mapInArrow(run, "net binary").collect()[0].net))
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str, **limits) -> DataFrame:
     """``docs`` with all its columns and a last one, ``name``, its score; see ``toxicity``. Only the text goes to Python."""
-    rows = training_rows(docs, labels, **limits)
-    weights = class_weights(labels, **{k: v for k, v in limits.items() if k != "most_chars"})
-    net = train([t for t, _ in rows], [y for _, y in rows], weights=weights)
-    if net is not None:
-        del net.sums
-    held = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: two tables of 65,536 rows
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, **limits))  # fixed size: four tables, 8 MB
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

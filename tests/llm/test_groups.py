@@ -282,26 +282,28 @@ def test_toxicity(spark, awkward, none_at_all):
     assert toxicity.not_toxic(docs, labels).columns == docs.columns
 
 
-def test_toxicity_keeps_the_balance_of_all_labels(spark, monkeypatch):
+def test_toxicity_keeps_the_balance_of_all_labels(spark):
     rows = toxic_corpus(1000)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     kept = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
-    seen, real = [], toxicity.train
-
-    def train(texts, y, **more):
-        seen.append((y.count(0), y.count(1), more["weights"]))
-        return real(texts, y, **more)
-
-    monkeypatch.setattr(toxicity, "train", train)
+    seen = []
     for limits in ({}, {"toxic": 100, "other": 40}):
-        toxicity.toxicity(docs, labels, **limits)
+        y = [r.toxic for r in toxicity.training_rows(docs, labels, **limits).collect()]
+        seen.append((y.count(0), y.count(1), toxicity.class_weights(labels, **limits)))
     assert seen == [(len(kept) - sum(kept), sum(kept), (1.0, 1.0)), (40, 100, ((len(kept) - sum(kept)) / 40, sum(kept) / 100))]
     texts, y = zip(*((t, y) for _, t, y in rows[:200]), strict=True)
-    even, rare = (real(list(texts), list(y), epochs=1, least_steps=4, weights=w).scale for w in ((1.0, 1.0), (20.0, 1.0)))
+    even, rare = (toxicity.train(list(texts), list(y), epochs=1, least_steps=4, weights=w).scale for w in ((1.0, 1.0), (20.0, 1.0)))
     assert -rare[1] / rare[0] > -even[1] / even[0]  # a rarer class needs a higher logit
 
 
+def test_long_labelled_texts_train_by_pieces(spark):
+    docs = spark.createDataFrame([(1, "a" * 10 + " middle " + "z" * 100_000 + " end"), (2, "short"), (3, None)], "doc_id long, text string")
+    r = {x.doc_id: x.text for x in toxicity.training_rows(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as toxic"), most_chars=800).collect()}
+    held = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert set(r) == {1, 2} - held and (1 in held or len(r[1]) == 807 and r[1].startswith("aaa") and r[1].endswith(" end"))
+
+
 def test_weighted_fit_of_a_sample_is_that_of_all_rows():
     g = np.random.default_rng(5)
     y = np.repeat([0.0, 1.0], [9000, 1000])
