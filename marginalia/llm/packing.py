@@ -58,19 +58,24 @@ def segments(docs: DataFrame, tokenizer_path: str, longest: int, id_col: str = "
     Counts are the tokenizer library's for the part by itself. A document without tokens (null or blank) is one part.
     """
 
-    @F.arrow_udf("array<struct<n:long,text:string>>")
+    @F.arrow_udf("array<struct<start:int,size:int,n:long>>")
     def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = counter_of(tokenizer_path)
-        kind = pa.list_(pa.struct([("n", pa.int64()), ("text", pa.string())]))
         for texts in batches:
-            out = []
+            ends, flat = [0], []
             for s in range(0, len(texts), 500):
-                rows = ((t or "") for t in texts.slice(s, 500).to_pylist())
-                out.append(pa.array([[{"n": n, "text": t[a:b]} for a, b, n in counter.segments(t, longest)] for t in rows], kind))
-            yield pa.concat_arrays(out) if out else pa.array([], kind)
-
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), parts(F.col(text_col)).alias("parts"))
-    return cut.select("doc_id", F.posexplode("parts").alias("segment", "part")).select("doc_id", "segment", F.col("part.n").alias("n_tokens"), F.col("part.text").alias("text"))
+                for t in texts.slice(s, 500).to_pylist():
+                    flat += counter.segments(t or "", longest)
+                    ends.append(len(flat))
+            start, end, n = np.array(flat, np.int64).reshape(-1, 3).T
+            each = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(n)], names=["start", "size", "n"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), parts(F.col(text_col)).alias("parts"))
+    each = cut.select("doc_id", "text", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("segment", "part"))
+    part = F.when(F.col("n_parts") == 1, F.col("text")).otherwise(F.substring("text", F.col("part.start") + 1, F.col("part.size")))
+    return each.select("doc_id", "segment", F.col("part.n").alias("n_tokens"), part.alias("text"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, buckets: int = 12, longest: int = 2048, budget: int = 65_536, group_batches: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
