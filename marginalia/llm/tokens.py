@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from functools import cache
 from itertools import accumulate
@@ -39,6 +40,10 @@ def _seconds() -> frozenset[str]:
 
 #: Characters with the Unicode property White_Space; Python's own white space holds four more.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters, numbers and white space among ASCII, Latin and their lower case (some lie beyond); all other characters there are neither.
+_END = 0x2AF
+_LATIN = tuple("".join(re.escape(chr(c)) for c in [*range(_END + 1), 0x2C65, 0x2C66] if test(chr(c))) for test in (lambda c: unicodedata.category(c)[0] == "L", lambda c: unicodedata.category(c)[0] == "N", lambda c: c in _SPACE))
+_PLAIN = re.compile(f"[\0-{chr(_END)}\u2c65\u2c66]*")
 _BREAK = regex.compile(f"[{_SPACE}]")
 
 
@@ -63,15 +68,19 @@ class PrefixCounter:
         #: Words in full, and beginnings of words, whose last symbol has no mark.
         self.whole = BPE(self.vocab, merges, end_of_word_suffix=self.suffix) if self.suffix else BPE(self.vocab, merges)
         self.inner = BPE(self.vocab, merges)
-        #: Beginnings of all tokens: 1 where one ends without the word-end mark, 2 where with it (both where there is no mark).
-        self.starts: dict[str, int] = {}
+        #: Ends of all tokens: 1 where one is whole without the word-end mark, 2 where with it (both where there is no mark).
+        self.tails: dict[str, int] = {}
+        self.states: dict[str, tuple[str, int, int]] = {}
         for token in self.vocab:
             ends = bool(self.suffix) and token.endswith(self.suffix)
             body = token[: -len(self.suffix)] if ends else token
             for k in range(1, len(body)):
-                self.starts.setdefault(body[:k], 0)
-            self.starts[body] = self.starts.get(body, 0) | (2 if ends else 1 if self.suffix else 3)
-        self.word = regex.compile(f"({split['pattern']['Regex']})".replace(r"\s", r"\p{White_Space}"))
+                self.tails.setdefault(body[k:], 0)
+            self.tails[body] = self.tails.get(body, 0) | (2 if ends else 1 if self.suffix else 3)
+        whole = split["pattern"]["Regex"]
+        #: The same pattern for Python's faster engine, over ASCII and over lower-case Latin texts.
+        self.fast = [re.compile("(" + whole.replace(r"\p{L}", a).replace(r"\p{N}", b).replace(r"\s", c) + ")") for a, b, c in (("a-z", "0-9", r"\t\n\v\f\r "), _LATIN)]
+        self.word = regex.compile(f"({whole})".replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
@@ -110,29 +119,40 @@ class PrefixCounter:
     def word_counts(self, word: str) -> list[int]:
         """Tokens of ``word[:1]``, ``word[:2]`` and so on, each as a word of its own.
 
-        last and count describe beginnings without the word-end mark, whole words with it; from each place the tokens
-        that may follow are tried as far as the vocabulary goes on.
+        A beginning's state is its last token and count without the word-end mark, and its count as a whole word. Words
+        share their beginnings, so states are kept. A new state tries the tokens that end there, shortest first, as far
+        as the vocabulary has longer ones.
         """
         if word.isascii() and word.isprintable():
             piece, ends = word, None
         else:
             parts = ["".join([self.alphabet[b] for b in c.encode()]) for c in word]
             piece, ends = "".join(parts), list(accumulate(map(len, parts)))
-        m, suffix, starts, known, check = len(piece), self.suffix, self.starts, self.pairs.get, self._go_together
-        last: list[str | None] = ["", *[None] * m]
-        count, whole = [0] * (m + 1), [0] * (m + 1)
-        for s in range(m):
-            a, n = last[s], count[s] + 1
-            for e in range(s + 1, m + 1):
-                t = piece[s:e]
-                kind = starts.get(t)
-                if kind is None:
-                    break
-                if kind & 1 and last[e] is None and ((ok := known((a, t))) or ok is None and check(a, t)):
-                    last[e], count[e] = t, n
-                if kind & 2 and not whole[e] and ((ok := known((a, t + suffix))) or ok is None and check(a, t + suffix)):
-                    whole[e] = n
-        return whole[1:] if ends is None else [whole[e] for e in ends]
+        suffix, tails, states, known, check = self.suffix, self.tails, self.states, self.pairs.get, self._go_together
+        if len(states) > _CACHE_WORDS:
+            states.clear()
+        before, whole = [("", 0, 0)], []
+        for e in range(1, len(piece) + 1):
+            state = states.get(piece[:e])
+            if state is None:
+                last, n, full = "", 0, 0
+                for s in range(e - 1, -1, -1):
+                    t = piece[s:e]
+                    kind = tails.get(t)
+                    if kind is None:
+                        break
+                    if kind:
+                        a, k, _ = before[s]
+                        if kind & 1 and not last and ((ok := known((a, t))) or ok is None and check(a, t)):
+                            last, n = t, k + 1
+                        if kind & 2 and not full and ((ok := known((a, t + suffix))) or ok is None and check(a, t + suffix)):
+                            full = k + 1
+                        if last and full:
+                            break
+                state = states[piece[:e]] = (last, n, full)
+            before.append(state)
+            whole.append(state[2])
+        return whole if ends is None else [whole[e - 1] for e in ends]
 
     def _changes(self, word: str) -> bytes:
         """Change of the count with each character of a word, as signed bytes."""
@@ -145,9 +165,14 @@ class PrefixCounter:
             raise ValueError("a character changes the count by more than 127 tokens")
         return bytes([x & 255 for x in steps])
 
+    def _fast(self, low: str) -> re.Pattern | None:
+        return self.fast[0] if low.isascii() else self.fast[1] if _PLAIN.fullmatch(low) else None
+
     def _parts(self, low: str) -> list[str]:
         """A normalised text's white space and words in turn."""
-        if not low.isascii() and (new := [c for c in set(low) if unicodedata.category(c) == "Cn"]):
+        if (fast := self._fast(low)) is not None:
+            return fast.split(low)
+        if new := [c for c in set(low) if unicodedata.category(c) == "Cn"]:
             like = low.translate({ord(c): self._stand_in(c) for c in new})
             at = list(accumulate(map(len, self.word.split(like)), initial=0))
             return [low[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
@@ -217,26 +242,33 @@ class PrefixCounter:
         if len(low) != len(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)) or self.special.search(text):
             return self._table_segments(text, longest)
         parts, memo = self._parts(low), self.totals
-        if len(memo) + len(parts) > _CACHE_WORDS:
-            memo.clear()
-        for w in {w for w in parts[1::2] if w not in memo}:
-            memo[w] = self._total(w)
-        totals = [memo[w] for w in parts[1::2]]
+        words = parts[1::2]
+        try:
+            totals = [memo[w] for w in words]
+        except KeyError:
+            if len(memo) + len(words) > _CACHE_WORDS:
+                memo.clear()
+            for w in words:
+                if w not in memo:
+                    memo[w] = self._total(w)
+            totals = [memo[w] for w in words]
         if sum(totals) <= longest:
             return [(0, len(text), sum(totals))]
-        out, start, at, held = [], 0, 0, 0
-        for gap, word, n in zip(parts[::2], parts[1::2], totals, strict=False):
-            if held + n > longest:
-                if held:
-                    out.append((start, at, held))
-                    start, held = at, 0
-                if n > longest:
-                    inner = self._table_segments(text[start : at + len(gap) + len(word)], longest)
-                    out += [(start + s, start + e, k) for s, e, k in inner]
-                    start, n = at + len(gap) + len(word), 0
-            held += n
-            at += len(gap) + len(word)
-        return [*out, (start, len(text), held)] if start < len(text) else out
+        counts = np.cumsum([0, *totals])
+        ends = np.cumsum(list(map(len, parts)))[1::2]
+        out, word, start = [], 0, 0
+        while word < len(words):
+            last = int(np.searchsorted(counts, counts[word] + longest, "right")) - 1  # words that fit, counted from the first
+            if last > word:
+                n = int(counts[last] - counts[word])
+                out.append((start, int(ends[last - 1]), n))
+            else:
+                last = word + 1
+                out += [(start + s, start + e, n) for s, e, n in self._table_segments(text[start : int(ends[word])], longest)]
+            word, start = last, int(ends[last - 1])
+        if start < len(text):  # white space at the end
+            out[-1] = (out[-1][0], len(text), out[-1][2])
+        return out
 
     def _table_segments(self, text: str, longest: int) -> list[tuple[int, int, int]]:
         """The same from the prefix table of any text; parts end before white space where they can."""
