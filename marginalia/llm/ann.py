@@ -86,7 +86,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200, sample: int = 16_384, block: int = 16_384, query_block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200, sample: int = 16_384, block: int = 65_536, query_block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found for each query row, by Euclidean distance on the original vectors.
 
     The codebooks are fitted on at most ``sample`` vectors (by the hash of their ids); every row is coded. ``depth``
@@ -105,8 +105,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
     fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
     shared = spark.sparkContext.broadcast(Quantizer(np.unique(np.stack(fit["v"].to_numpy()), axis=0)))  # fixed size: 16 centroids a subspace
     n_blocks, n_query_blocks = math.ceil(n / block), math.ceil(n_queries / query_block)
-    # Blocks are dealt at random, so that a query's nearest are spread over them; each keeps its share with room to spare.
-    keep = 1 + min(depth, 4 * math.ceil(depth / n_blocks) + 16)  # one more, as the query finds its own vector
+    keep = depth + 1  # of every block, as all of the best may lie in one; one more, as the query finds its own vector
     # Equal vectors stand under the smallest of their ids; of the others k can matter, as one may be the query itself.
     by_id = Window.partitionBy("hash", "v").orderBy("id")
     first = rows.select("id", "v", F.xxhash64("v").alias("hash")).withColumn("r", F.dense_rank().over(by_id)).where(F.col("r") <= k + 1)
@@ -150,11 +149,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
     code_blocks = codes.mapInArrow(packed(block, lambda b: b"".join(b.column("code").to_pylist()), lambda b: np.asarray(b.column("half"), np.float64).tobytes()), _BLOCK)
     queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     query_blocks = queries.repartition(n_query_blocks).mapInArrow(packed(query_block, lambda b: matrix(b).tobytes(), lambda b: b""), _BLOCK)
-    # Every block of queries scans every block of codes; copies of the query blocks are dealt over `ways` keys, so that no key takes all code blocks.
-    ways = max(1, min(n_blocks, 64))
-    left = code_blocks.withColumn("way", F.pmod(F.xxhash64("block"), F.lit(ways)))
-    right = query_blocks.withColumnsRenamed({"ids": "qids", "data": "qdata"}).select("qids", "qdata", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("way"))
-    pairs = left.join(right, "way").select("ids", "data", "extra", "qids", "qdata")
+    # Every block of queries scans every block of codes: a grid of tasks, each with one share of the codes and one of the queries.
+    rows_of, columns_of = n_blocks, math.ceil(n_query_blocks / 16)
+    share = lambda c, ways: F.pmod(F.xxhash64(c), F.lit(ways)).cast("int")
+    every = lambda ways: F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+    left = code_blocks.withColumn("i", share("block", rows_of)).select("i", every(columns_of).alias("j"), "ids", "data", "extra")
+    right = query_blocks.withColumn("j", share("block", columns_of)).select(every(rows_of).alias("i"), "j", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    pairs = left.join(right, ["i", "j"]).select("ids", "data", "extra", "qids", "qdata")
 
     def scanned(batches):
         quant = shared.value
@@ -163,21 +164,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, depth: int = 200,
                 i, half, qi = np.frombuffer(ids, np.int64), np.frombuffer(extra, np.float64), np.frombuffer(qids, np.int64)
                 code = np.frombuffer(data, np.uint8).reshape(len(i), -1)
                 tables = quant.tables(np.frombuffer(qdata, np.float32).reshape(len(qi), dim))
-                best = [[], [], []]
+                least = np.full(len(qi), -np.inf, np.float32)
+                best: list[list[np.ndarray]] = [[], [], []]
                 for s in range(0, len(i), 2048):
                     part = code[s : s + 2048]
                     score = np.repeat(-half[s : s + 2048, None].astype(np.float32), len(qi), 1)
                     for j in range(part.shape[1]):
                         score += tables[j][part[:, j]]
-                    m = min(keep, len(part))
-                    top = np.argpartition(-score, m - 1, axis=0)[:m] if m < len(part) else np.repeat(np.arange(m)[:, None], len(qi), 1)
-                    for have, new in zip(best, (np.repeat(qi[None], m, 0), i[s + top], np.take_along_axis(score, top, 0)), strict=True):
+                    if len(part) > keep:  # all that equal the last one kept stay, so no tie is cut
+                        least = np.maximum(least, np.partition(score, -keep, axis=0)[-keep])
+                    at, q = np.nonzero(score >= least)
+                    for have, new in zip(best, (q, i[s + at], score[at, q]), strict=True):
                         have.append(new)
                 q, c, v = (np.concatenate(x) for x in best)
-                if len(v) > keep:
-                    top = np.argpartition(-v, keep - 1, axis=0)[:keep]
-                    q, c, v = (np.take_along_axis(x, top, 0) for x in (q, c, v))
-                yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(c.ravel()), pa.array(v.ravel().astype(np.float64))], names=["query_id", "vec_id", "near"])
+                order = np.lexsort((c, -v, q))
+                q, c, v = q[order], c[order], v[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                q, c, v = (x[rank < keep] for x in (q, c, v))
+                yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(c), pa.array(v.astype(np.float64))], names=["query_id", "vec_id", "near"])
 
     found = pairs.mapInArrow(scanned, "query_id long, vec_id long, near double")
     by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")

@@ -186,6 +186,23 @@ def test_neighbours_among_many_copies(spark):
     assert hit >= 0.95 * 10 * len(asked)
 
 
+def test_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in df.collect() if r.embedding is not None}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    for depth, least in ((200, 0.99), (40, 0.9)):
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 20 == 0, depth=depth, block=400, query_block=16).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hit = 0
+        for q in ids[ids % 20 == 0]:
+            d = np.sqrt(((x - rows[q]) ** 2).sum(1))
+            d[ids == q] = np.inf
+            hit += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        assert hit >= least * 10 * (ids % 20 == 0).sum()
+
+
 def test_parallel_error_is_penalised():
     x = np.random.default_rng(4).standard_normal((2000, 16))
     share = []
@@ -237,14 +254,15 @@ def test_packing_keeps_all_texts_and_fills_its_budget(spark, awkward, none_at_al
 
 def test_mixing_meets_targets(spark, awkward, none_at_all):
     rnd = random.Random(9)
-    docs = [(i, " ".join(rnd.choice("red rose ruby".split() if i % 4 else "blue bird bay".split()) for _ in range(rnd.randint(5, 60)))) for i in range(400)]
+    docs = [(i, " ".join(rnd.choice("red rose ruby and the of".split() if i % 4 else "blue bird bay and the of".split()) for _ in range(rnd.randint(5, 60)))) for i in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(0, 400, 3)] + [(None, "a"), (5, None)], "doc_id long, domain string")
-    r = mixing.mix(df, labels, {"a": 0.5, "b": 0.5}).collect()
-    total = sum(x.n_tokens for x in r)
-    assert len(r) == 400 and all(x.rate >= 0 and abs(x.p_a + x.p_b - 1) < 1e-9 for x in r)
-    assert abs(sum(x.rate * x.n_tokens * x.p_b for x in r) / total - 0.5) < 1e-3
-    assert sum((x.domain == "b") == (x.doc_id % 4 == 0) for x in r) > 390
+    for share in (0.5, 0.95):
+        r = mixing.mix(df, labels, {"a": 1 - share, "b": share}).collect()
+        total = sum(x.n_tokens for x in r)
+        assert len(r) == 400 and all(x.rate >= 0 and abs(x.p_a + x.p_b - 1) < 1e-9 for x in r)
+        assert abs(sum(x.rate * x.n_tokens * x.p_b for x in r) / total - share) < 1e-5 and r[0].gap < 1e-5
+        assert sum((x.domain == "b") == (x.doc_id % 4 == 0) for x in r) > 390
     copies = mixing.mixed(df, spark.createDataFrame(r)).groupBy("doc_id").count().collect()
     assert {x.doc_id: x["count"] for x in copies} == {x.doc_id: x.copies for x in r if x.copies}
     assert mixing.mix(none_at_all, labels, {"a": 1, "b": 1}).count() == 0
@@ -252,6 +270,32 @@ def test_mixing_meets_targets(spark, awkward, none_at_all):
     assert len(odd) == len({i for i, *_ in awkward_rows()})
 
 
+def test_rates_are_the_best_that_bounds_allow(spark):
+    g = np.random.default_rng(2)
+    p = g.dirichlet([1, 1, 1], 200)
+    n = g.integers(1, 100, 200)
+    df = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(200)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    for targets, most in (([9000.0, 500.0, 500.0], None), ([100.0, 100.0, 1e5], 2.0)):
+        rated, course = mixing.fit_rates(df, targets, most)
+        rate = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+        a = (rate * n) @ p
+        assert (rate >= 0).all() and rate.max() <= (most or np.inf) and abs(np.abs(a - targets).sum() / sum(targets) - course[-1]) < 1e-6
+        if most is None:  # brute force: long projected gradient in the plain metric
+            x = np.ones(200)
+            for _ in range(20_000):
+                x = np.maximum(0, x - 2e-7 * n * (p @ ((x * n) @ p - targets)))
+            assert np.abs((x * n) @ p - targets).sum() >= np.abs(a - targets).sum() - 1e-3 and course[-1] < 1e-6
+        else:
+            assert course[-1] > 0.5  # twice all tokens are far fewer: said, not hidden
+
+
+def test_a_target_without_documents_is_warned_of(spark):
+    df = spark.createDataFrame([(i, "word") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a") for i in range(20)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="misses"):
+        mixing.mix(df, labels, {"a": 0.0, "b": 1.0}, most=2.0)
+
+
 def toxic_corpus(n=300):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 5)))
