@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,9 +44,23 @@ def simple_sentences(text: Column) -> Column:
 
 def topic_tokens(text: Column) -> Column:
     """Lower-case words of three characters or more that aren't stop words; punctuation separates."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    pieces = F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+")
-    return F.filter(pieces, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w{3,}"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though the body names it often."""
+    return F.transform(F.array(value), body)[0]
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct(term, n)> of an array's distinct terms, in their order: runs of the sorted array, so nothing is shuffled."""
+    none = F.array().cast("array<struct<term:string,n:int>>")
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("n"))))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(none)
 
 
 def rule_tokens(text: Column) -> Column:

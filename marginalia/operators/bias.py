@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import simple_sentences, words
+from marginalia.functions.text import simple_sentences
 
 #: Words and patterns of the audit.
 POSITIVE = ("good", "great", "excellent", "positive", "beneficial", "helpful")
@@ -24,6 +24,13 @@ PATTERNS = {
     "ageism": [r"\bold people are\b", r"\byoung people are\b", r"\belderly\b", r"\bsenile\b", r"\bover the hill\b"],
     "ableism": [r"\bcrippled?\b", r"\blame\b", r"\bhandicapped\b", r"\bsuffering from\b", r"\bconfined to\b", r"\bwheelchair.?bound\b"],
 }
+#: What a text holds, in small letters, if a category's patterns can match; it spares most texts the patterns.
+STEMS = {
+    "gender": ("men are", "girls are", "boys are", "typically male", "typically female"),
+    "racial": ("legal", "alien", "exotic"),
+    "ageism": ("people are", "elderly", "senile", "over the hill"),
+    "ableism": ("cripple", "lame", "handicapped", "suffering from", "confined to", "wheelchair"),
+}
 COMPLEX = ("paradigm", "synergy", "leverage", "utilize", "operationalize", "methodology", "heretofore", "aforementioned", "notwithstanding", "pursuant", "vis-à-vis", "ergo", "ipso facto")
 PASSIVE = r"(?iU)\b(was|were|been|being|is|are)\s+\w+ed\b"
 WEIGHTS = {"low": 1, "medium": 3, "high": 7, "critical": 15}
@@ -33,9 +40,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
-def _any_of(terms) -> str:
-    """One pattern for whole words; the terms don't overlap, so one pass counts what one pass a term would."""
-    return r"(?iU)\b(?:" + "|".join(terms) + r")\b"
+def _words_among(low: Column, tokens: Column, terms) -> Column:
+    """How often whole words (and listed phrases) of small letters stand in a text; phrases are sought where they can be."""
+    single = [t for t in terms if t.isalpha()]
+    found = F.size(F.filter(tokens, lambda t: t.isin(*single)))
+    for t in set(terms) - set(single):
+        found = found + F.when(low.contains(t), _count(low, rf"(?U)\b{t}\b")).otherwise(0)
+    return found
 
 
 def sentiment(text: Column) -> Column:
@@ -64,21 +75,26 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def finding_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings by category for each document; one pass over the text a category."""
-    t = F.col(text_col)
-    cols = [_count(t, _any_of(GENDERED)).alias("gendered_language")]
-    cols += [_count(t, "(?iU)" + "|".join(ps)).alias(c) for c, ps in PATTERNS.items()]
-    return docs.select(id_col, *cols)
+    """Findings by category for each document: words are counted among the tokens, patterns sought where their stems stand."""
+    low = docs.select(id_col, F.col(text_col).alias("text"), F.lower(text_col).alias("low"))
+    low = low.withColumn("tokens", F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))
+    cols = [F.coalesce(_words_among(F.col("low"), F.col("tokens"), GENDERED), F.lit(0)).alias("gendered_language")]
+    for c, ps in PATTERNS.items():
+        there = reduce(lambda a, b: a | b, [F.col("low").contains(x) for x in STEMS[c]])
+        cols.append(F.when(there, _count(F.col("text"), "(?iU)" + "|".join(ps))).otherwise(0).alias(c))
+    return low.select(id_col, *cols)
 
 
 def inclusivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Gender neutrality, accessibility, passive voice, lengths, reading level and their blend."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(
-        id_col, F.size(words(t)).alias("n_words"), F.length(F.regexp_replace(t, r"\s+", "")).alias("letters"),
-        F.size(simple_sentences(t)).alias("n_sentences"),
-        F.coalesce(F.aggregate(simple_sentences(t), F.lit(0), lambda a, s: a + F.size(words(s))), F.lit(0)).alias("sentence_words"),
-        _count(t, _any_of(GENDERED)).alias("gendered"), _count(t, _any_of(COMPLEX)).alias("complex_terms"), _count(t, PASSIVE).alias("passives"),
+    low = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    low = low.withColumn("low", F.lower("text")).withColumn("tokens", F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))
+    t, low_text, tokens = F.col("text"), F.col("low"), F.col("tokens")
+    base = low.select(
+        id_col, _count(t, r"\S+").alias("n_words"), F.length(F.translate(t, " \t\n\x0b\f\r", "")).alias("letters"),
+        F.size(simple_sentences(t)).alias("n_sentences"), _count(t, r"[^\s.!?]+").alias("sentence_words"),
+        _words_among(low_text, tokens, GENDERED).alias("gendered"), _words_among(low_text, tokens, COMPLEX).alias("complex_terms"),
+        F.when(F.exists(tokens, lambda w: w.endswith("ed")), _count(t, PASSIVE)).otherwise(0).alias("passives"),
     )
     one = lambda c: F.greatest(F.lit(1), F.col(c))
     step = base.withColumns({

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions.text import preview, topic_tokens
+from marginalia.functions.text import preview, term_counts, topic_tokens
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, total, terms): each document's topic terms counted in its own row."""
+    t = docs.select(id_col, topic_tokens(F.col(text_col)).alias("tokens"))
+    return t.select(id_col, F.size("tokens").alias("total"), term_counts(F.col("tokens")).alias("terms"))
 
 
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, n): how often each topic term stands in a document."""
-    return docs.select(id_col, F.explode(topic_tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    """(id, term, n): how often each topic term stands in a row's text; no shuffle."""
+    return _counted(docs, id_col, text_col).select(id_col, F.explode("terms").alias("t")).select(id_col, "t.term", F.col("t.n").cast("long").alias("n"))
 
 
 def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Share of each term in its document; the total comes from the token array, not from a second shuffle."""
-    t = docs.select(id_col, topic_tokens(F.col(text_col)).alias("tokens"))
-    each = t.select(id_col, F.size("tokens").alias("total"), F.explode("tokens").alias("term"))
-    return each.groupBy(id_col, "term").agg((F.count("*") / F.max("total")).alias("tf"))
+    """Share of each term in its row's text; no shuffle."""
+    return _counted(docs, id_col, text_col).select(id_col, "total", F.explode("terms").alias("t")).select(id_col, "t.term", (F.col("t.n") / F.col("total")).alias("tf"))
 
 
 def inverse_document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,23 +37,18 @@ def inverse_document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col
 def cosine_to_query(docs: DataFrame, query: str, idf: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cosine of TF-IDF vectors between each document and a query; idf 1 for all terms unless given.
 
-    Norms and products are summed inside each document's token array when idf is 1, so only documents move.
+    With idf 1, norms and products are sums over each row's own terms, so nothing is shuffled; rows without terms go.
     """
     spark = docs.sparkSession
     q = term_frequency(spark.createDataFrame([(0, query)], f"{id_col} long, {text_col} string"), id_col, text_col)
     if idf is None:
         weights = {r.term: r.tf for r in q.collect()}  # as many rows as the query has words
-        tokens = topic_tokens(F.col(text_col))
-        total = F.size("tokens")
         norm = sum(v * v for v in weights.values()) ** 0.5
-        counts = docs.select(id_col, tokens.alias("tokens")).select(
-            id_col, total.alias("total"), F.explode("tokens").alias("term")
-        ).groupBy(id_col, "term").agg((F.count("*") / F.max("total")).alias("tf"))
-        table = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, v))) if weights else None
-        w = F.coalesce(F.try_element_at(table, F.col("term")), F.lit(0.0)) if weights else F.lit(0.0)
-        agg = counts.groupBy(id_col).agg(F.sum(F.col("tf") * w).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("sq"))
-        score = F.when((F.col("sq") > 0) & (F.lit(norm) > 0), F.col("dot") / (F.sqrt("sq") * norm)).otherwise(0.0)
-        return agg.select(id_col, score.alias("tfidf"))
+        each = _counted(docs, id_col, text_col).where("total > 0")
+        weight = lambda t: reduce(lambda w, kv: w.when(t == kv[0], kv[1]), weights.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+        dot = F.aggregate(F.filter("terms", lambda x: x["term"].isin(*weights)), F.lit(0.0), lambda a, x: a + x["n"] * weight(x["term"])) if weights else F.lit(0.0)
+        square = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["n"].cast("double") * x["n"])
+        return each.select(id_col, (dot / (F.sqrt(square) * norm) if norm else F.lit(0.0)).alias("tfidf"))
     wq = q.join(idf, "term", "left").select("term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("wq"))
     wd = term_frequency(docs, id_col, text_col).join(idf, "term", "left").withColumn("wd", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     norm = wq.agg(F.sqrt(F.sum(F.col("wq") ** 2)).alias("nq"))
@@ -80,8 +81,7 @@ def focus_order(docs: DataFrame, query: str, threshold: float = 0.5, group: str
 
 
 def keywords(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Most frequent topic terms of each document, frequencies over the largest one."""
-    n = terms(docs, id_col, text_col)
-    w = Window.partitionBy(id_col)
-    ranked = n.withColumns({"top": F.max("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "term"))})
-    return ranked.where(F.col("rank") <= k).select(id_col, "term", F.round(F.col("n") / F.col("top"), 6).alias("score"), "rank")
+    """Most frequent topic terms of each row's text, frequencies over the largest one; ranked inside the row."""
+    most = F.slice(F.sort_array(F.transform("terms", lambda x: F.struct((-x["n"]).alias("less"), x["term"].alias("term")))), 1, k)
+    ranked = _counted(docs, id_col, text_col).select(id_col, most.alias("most")).select(id_col, F.get("most", F.lit(0))["less"].alias("top"), F.posexplode("most").alias("place", "m"))
+    return ranked.select(id_col, "m.term", F.round(F.col("m.less") / F.col("top"), 6).alias("score"), (F.col("place") + 1).alias("rank"))
