@@ -80,5 +80,41 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_source_mixing, op2_ann, op3_toxicity, op4_packing, op5_license_scan, op6_token_counts, op7_warc, op8_secret_scan, op9_near_dedup, op10_media_columns)}
 
 
+SQL_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN k ON p.d = k.d AND n >= 1000"""
+
+#: Each kind's matches with their values; places are running sums of the pieces between and the matches themselves.
+_SQL_KIND = """SELECT doc_id, source, lang, {kind} AS kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS start, length(found[i]) AS n, vals[i] AS value
+FROM (SELECT doc_id, source, lang, regexp_extract_all(t, {p}) AS found, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, {group}) AS vals FROM d), LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i)"""
+_SQL_ASSIGN = "'([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)'"
+SQL_SECRETS = f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+f AS ({_SQL_KIND.format(kind=0, p=_SQL_ASSIGN, group=2)} UNION ALL {_SQL_KIND.format(kind=1, p="'AKIA[A-Z0-9]+'", group=0)} UNION ALL {_SQL_KIND.format(kind=2, p="'[0-9a-f]+'", group=0)}),
+c AS (SELECT *, start + n AS stop FROM f WHERE length(value) >= [6, 20, 24][kind + 1]),
+o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY value),
+k AS (SELECT c.*, owners >= 3 AS example, owners = 1 AND len(list_distinct(string_split(value, ''))) >= 8 AS live FROM c JOIN o USING (value)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (example) AS n_example,
+string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS base FROM k GROUP BY doc_id),
+a AS (SELECT DISTINCT doc_id, stop - length(value) AS start, 3 AS kind, stop FROM k WHERE live),
+m AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans, count(*) FILTER (kind = 3) AS n_live
+FROM (SELECT doc_id, start, kind, stop FROM k UNION ALL SELECT doc_id, start, kind, stop FROM a) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+#: Exact: all pairs that share a shingle are counted, and components follow the links to their smallest id.
+SQL_NEAR_DEDUP = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w),
+cls AS (SELECT min(doc_id) AS node, any_value(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+e AS (SELECT node, len(g) AS n, unnest(g) AS x FROM cls),
+p AS (SELECT a.node AS u, b.node AS v FROM e a JOIN e b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+reach AS (SELECT node, node AS seen FROM cls UNION SELECT r.node, b.v FROM reach r JOIN links b ON r.seen = b.u),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+of AS (SELECT s.doc_id, len(s.g) AS n, k.node FROM s LEFT JOIN cls k ON list_sort(s.g) = list_sort(k.g))
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM of LEFT JOIN c USING (node)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the operators whose whole result SQL can say; the others are held against brute force in the tests."""
+    return {"op7_warc": SQL_WARC, "op8_secret_scan": SQL_SECRETS, "op9_near_dedup": SQL_NEAR_DEDUP}
