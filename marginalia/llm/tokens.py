@@ -15,6 +15,8 @@ import json
 import os
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import cache
 from itertools import accumulate
 from operator import sub
@@ -47,6 +49,22 @@ _PLAIN = re.compile(f"[\0-{chr(_END)}\u2c65\u2c66]*")
 _BREAK = regex.compile(f"[{_SPACE}]")
 
 
+class Memo(dict):
+    """Answers by key, made where one is missing; emptied between texts where it has grown too large."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def of(self, keys: list) -> list:
+        if len(self) > _CACHE_WORDS:
+            self.clear()
+        return list(map(self.__getitem__, keys))
+
+
 class PrefixCounter:
     """Exact prefix token counts of one tokenizer file: ``tokenizers`` JSON with NFC, lower case, split words and byte-level BPE."""
 
@@ -83,8 +101,7 @@ class PrefixCounter:
         self.word = regex.compile(f"({whole})".replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.totals: dict[str, int] = {}
+        self.words, self.totals = Memo(self._changes), Memo(self._total)
         self.pairs: dict[tuple[str, str], bool] = {}
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -155,7 +172,9 @@ class PrefixCounter:
         return whole if ends is None else [whole[e - 1] for e in ends]
 
     def _changes(self, word: str) -> bytes:
-        """Change of the count with each character of a word, as signed bytes."""
+        """Change of the count with each character of a word or of white space, as signed bytes."""
+        if not word.strip(_SPACE):
+            return bytes(len(word))
         if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction that is cut short falls into two words
             counts = [sum(self.word_counts(t)[-1] for t in self.word.findall(word[: k + 1])) for k in range(len(word))]
         else:
@@ -180,17 +199,8 @@ class PrefixCounter:
 
     def _parted(self, low: str) -> tuple[list[str], list[bytes]]:
         """A normalised text's white space and words in turn, and their changes."""
-        parts, memo = self._parts(low), self.words
-        try:
-            return parts, [memo[p] for p in parts]
-        except KeyError:
-            unknown = {p for p in parts if p not in memo}
-            if len(memo) + len(unknown) > _CACHE_WORDS:
-                memo.clear()
-                unknown = set(parts)
-            space = set(parts[::2])
-            memo.update((p, bytes(len(p)) if p in space else self._changes(p)) for p in unknown)
-            return parts, [memo[p] for p in parts]
+        parts = self._parts(low)
+        return parts, self.words.of(parts)
 
     def _plain(self, text: str) -> np.ndarray:
         """Changes for a text without special strings."""
@@ -241,31 +251,21 @@ class PrefixCounter:
         low = self._lower(text)
         if len(low) != len(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)) or self.special.search(text):
             return self._table_segments(text, longest)
-        parts, memo = self._parts(low), self.totals
-        words = parts[1::2]
-        try:
-            totals = [memo[w] for w in words]
-        except KeyError:
-            if len(memo) + len(words) > _CACHE_WORDS:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self._total(w)
-            totals = [memo[w] for w in words]
-        if sum(totals) <= longest:
-            return [(0, len(text), sum(totals))]
-        counts = np.cumsum([0, *totals])
-        ends = np.cumsum(list(map(len, parts)))[1::2]
+        parts = self._parts(low)
+        totals = self.totals.of(parts[1::2])
+        if (n := sum(totals)) <= longest:
+            return [(0, len(text), n)]
+        counts = list(accumulate(totals, initial=0))
+        ends = list(accumulate(map(len, parts)))[1::2]
         out, word, start = [], 0, 0
-        while word < len(words):
-            last = int(np.searchsorted(counts, counts[word] + longest, "right")) - 1  # words that fit, counted from the first
+        while word < len(ends):
+            last = bisect_right(counts, counts[word] + longest) - 1  # words that fit, counted from the first
             if last > word:
-                n = int(counts[last] - counts[word])
-                out.append((start, int(ends[last - 1]), n))
+                out.append((start, ends[last - 1], counts[last] - counts[word]))
             else:
                 last = word + 1
-                out += [(start + s, start + e, n) for s, e, n in self._table_segments(text[start : int(ends[word])], longest)]
-            word, start = last, int(ends[last - 1])
+                out += [(start + s, start + e, n) for s, e, n in self._table_segments(text[start : ends[word]], longest)]
+            word, start = last, ends[last - 1]
         if start < len(text):  # white space at the end
             out[-1] = (out[-1][0], len(text), out[-1][2])
         return out
