@@ -64,3 +64,8 @@ def credibility(papers: DataFrame, now: int, works: DataFrame | None = None, att
     overall = sum((F.col(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0.0))
     s = s.withColumn("overall", F.round(F.when(F.col("retracted"), 0.0).otherwise(overall), 6))
     return s.withColumn("level", level(F.col("overall")))
+
+
+def compared(scores: DataFrame, id_col: str = "paper_id") -> DataFrame:
+    """Papers from the most credible on, ties to the smaller id; a range sort, so no task takes all rows."""
+    return scores.orderBy(F.desc("overall"), id_col)

@@ -84,6 +84,33 @@ def visible(notes: DataFrame, viewer: Column | str, owner: str = "user", visibil
     return notes.where((F.col(visibility) != "private") | (F.col(owner) == viewer))
 
 
+def thread(notes: DataFrame, parent: Column, viewer: Column | str, parent_col: str = "parent_id", owner: str = "user", visibility: str = "visibility") -> DataFrame:
+    """Replies to a note that the viewer may see."""
+    return visible(notes.where(F.col(parent_col) == parent), viewer, owner, visibility)
+
+
+# Logs and profiles
+
+
+def appended(log: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """A log (of operations, metrics or assertions) with new rows; a row that comes again is taken once."""
+    return log.unionByName(new.join(log.select(key), key, "left_anti").dropDuplicates([key]), allowMissingColumns=True)
+
+
+def profiles(users: DataFrame, preferences: DataFrame, ops: DataFrame, alerts: Column, actions: Column, user: str = "user_id") -> DataFrame:
+    """Each user's preferences (full logging, analytics and explanations unless said otherwise) and counters over the log.
+
+    alerts, actions: which rows of the log are alerts and privacy actions.
+    """
+    n = ops.groupBy(user).agg(F.count("*").alias("operations"), F.count_if(alerts).alias("alerts"), F.count_if(actions).alias("privacy_actions"))
+    p = users.select(user).distinct().join(preferences, user, "left").join(n, user, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return p.select(
+        user, F.coalesce("transparency", F.lit("full")).alias("transparency"), F.coalesce("analytics", F.lit(True)).alias("analytics"),
+        F.coalesce("explanations", F.lit(True)).alias("explanations"), zero("operations"), zero("alerts"), zero("privacy_actions"),
+    )
+
+
 # Provenance
 
 
@@ -114,6 +141,11 @@ def manifest_hash(record: Column) -> Column:
     return F.sha2(F.to_json(record), 256)
 
 
+def manifest_json(record: Column) -> Column:
+    """A manifest for export: the struct's JSON with its hash beside it."""
+    return F.to_json(F.struct(record.alias("manifest"), manifest_hash(record).alias("sha256")))
+
+
 # Vector clocks and annotations
 
 

@@ -80,8 +80,17 @@ def table_rows(cards: DataFrame) -> DataFrame:
 FORMATS = {"anki_txt": anki_text, "json": card_json, "spaced_markdown": spaced_markdown, "callouts": callouts, "table": table_rows}
 
 
+def scheduler_json(states: DataFrame, key: str = "card_id") -> DataFrame:
+    """A JSON line {card: state} for each card, as ``readers.scheduler_states`` reads them."""
+    rest = F.struct(*(c for c in states.columns if c != key))
+    return states.select(key, F.to_json(F.create_map(F.col(key), rest)).alias("entry"))
+
+
 def write_all(cards: DataFrame, path: str) -> None:
-    """One folder a format."""
+    """One folder a format, and a README that names them with the number of cards."""
+    spark = cards.sparkSession
+    lines = [f"{cards.count()} cards", "anki_csv: front, back and tags", *(f"{name}: a card an entry" for name in FORMATS)]
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/README")
     write_anki_csv(cards, f"{path}/anki_csv")
     for name, f in FORMATS.items():
         f(cards).orderBy("card_id").select("entry").write.mode("overwrite").text(f"{path}/{name}")

@@ -112,3 +112,9 @@ def retention_action(category: Column, age_days: Column) -> Column:
 
 def deletion_requests(users: DataFrame, as_of: Column) -> DataFrame:
     return users.select("user_id", F.concat(F.lit("del_"), pseudonym(F.col("user_id").cast("string"))).alias("request_id"), F.lit("pending").alias("status"), (as_of + F.make_dt_interval(F.lit(30))).alias("due_at"))
+
+
+def erased(users: DataFrame, *stores: tuple[DataFrame, str], user: str = "user_id") -> list[DataFrame]:
+    """Each store (table, its user column) without the rows of the users."""
+    gone = users.select(user).distinct()
+    return [df.join(gone.withColumnRenamed(user, key), key, "left_anti") for df, key in stores]

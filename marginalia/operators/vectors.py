@@ -71,3 +71,24 @@ def rank_all(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     order = F.desc("distance") if descending else F.asc("distance")
     w = Window.partitionBy("query_id").orderBy(order, key)
     return d.select("query_id", F.col(key), "distance").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class Store:
+    """A table of vectors with one interface for adding, searching, deleting and a health report; each call gives a new store."""
+
+    def __init__(self, rows: DataFrame, key: str = "vec_id", vector: str = "embedding"):
+        self.rows, self.key, self.vector = rows, key, vector
+
+    def add(self, new: DataFrame) -> Store:
+        return Store(upsert(self.rows, new, self.key), self.key, self.vector)
+
+    def delete(self, where: Column) -> Store:
+        """Without the rows that the condition surely holds for."""
+        return Store(self.rows.where(~F.coalesce(where, F.lit(False))), self.key, self.vector)
+
+    def search(self, query: list[float], k: int, where: Column | None = None) -> DataFrame:
+        return knn(self.rows, query, k, where, None, self.key, self.vector)
+
+    def health(self) -> DataFrame:
+        """Vectors, distinct ids and lengths in one row."""
+        return self.rows.agg(F.count("*").alias("vectors"), F.count_distinct(self.key).alias("ids"), F.min(F.size(self.vector)).alias("least_length"), F.max(F.size(self.vector)).alias("most_length"))

@@ -114,7 +114,7 @@ def svo_relations(spark, sf):
 
 
 _SQL_ENTITIES = r"""ents AS (SELECT doc_id, text, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, text) AS ord FROM
-(SELECT doc_id, text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{L}{2,}')) AS text FROM documents) GROUP BY ALL) QUALIFY ord <= 6)"""
+(SELECT doc_id, text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{L}{2,}')) AS text FROM documents) GROUP BY ALL))"""
 _SQL_PAIRS = f"""{_SQL_ENTITIES}, sents AS (SELECT doc_id, unnest({SQL_SENTENCES}) AS sentence, generate_subscripts({SQL_SENTENCES}, 1) - 1 AS sent_id FROM documents),
 hits AS (SELECT s.doc_id, sent_id, sentence, ord, text FROM sents s JOIN ents e ON s.doc_id = e.doc_id AND contains(lower(sentence), lower(text))),
 pairs AS (SELECT a.doc_id, a.sent_id, a.sentence, a.ord AS source_ord, a.text AS source, b.ord AS target_ord, b.text AS target FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.ord < b.ord AND lower(a.text) <> lower(b.text))"""
@@ -122,11 +122,11 @@ pairs AS (SELECT a.doc_id, a.sent_id, a.sentence, a.ord AS source_ord, a.text AS
 
 def _pairs(spark, sf):
     docs = read(spark, sf, "documents")
-    entities = extraction.capitalised_entities(docs, 6)
+    entities = extraction.capitalised_entities(docs, None)
     return extraction.pairs_in_sentence(extraction.in_sentence(extraction.sentence_rows(docs), entities))
 
 
-@query(f"WITH {_SQL_ENTITIES} SELECT doc_id, ord, text, n FROM ents")
+@query(f"WITH {_SQL_ENTITIES} SELECT doc_id, ord, text, n FROM ents WHERE ord <= 6")
 def entity_topk(spark, sf):
     return extraction.capitalised_entities(read(spark, sf, "documents"), 6).select("doc_id", "ord", "text", "n")
 
@@ -140,12 +140,12 @@ def cooccurrence_pairs(spark, sf):
 _TYPES = ("PERSON", "ORGANIZATION", "TECHNOLOGY", "METHOD", "DATASET", "CONCEPT")
 _VALID_SQL = ", ".join(f"('{a}', '{b}', {'true' if 'RELATED_TO' in ts.split() else 'false'}, '{ts.split()[0]}')" for (a, b), ts in extraction.VALID_TYPES.items())
 _SQL_TYPED = f"""{_SQL_PAIRS}, v(st, tt, free, first) AS (VALUES {_VALID_SQL}),
-tp AS (SELECT *, {list(_TYPES)}[source_ord] AS st, {list(_TYPES)}[target_ord] AS tt, abs(instr(lower(sentence), lower(source)) - instr(lower(sentence), lower(target))) AS gap FROM pairs),
+tp AS (SELECT *, {list(_TYPES)}[(source_ord - 1) % 6 + 1] AS st, {list(_TYPES)}[(target_ord - 1) % 6 + 1] AS tt, abs(instr(lower(sentence), lower(source)) - instr(lower(sentence), lower(target))) AS gap FROM pairs),
 co AS (SELECT doc_id, sent_id, source, target, CASE WHEN free THEN 'RELATED_TO' ELSE first END AS type, (least(0.95, 0.6 + CASE WHEN gap < 50 THEN 0.1 WHEN gap < 100 THEN 0.05 ELSE 0 END) * 0.7)::DOUBLE AS confidence FROM tp JOIN v USING (st, tt))"""
 
 
 def _typed(spark, sf):
-    kind = lambda c: F.element_at(F.array(*map(F.lit, _TYPES)), F.col(c).cast("int"))
+    kind = lambda c: F.element_at(F.array(*map(F.lit, _TYPES)), (F.col(c) - 1).cast("int") % 6 + 1)
     p = _pairs(spark, sf).withColumns({"source_type": kind("source_ord"), "target_type": kind("target_ord")})
     return p.withColumn("base", extraction.base_confidence(F.lit(0.6), F.lit(0.7), F.col("sentence"), F.col("source"), F.col("target")))
 

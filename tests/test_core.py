@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import bias, catalog, credibility, ethics, extraction, graph, learning, privacy, vectors
+from marginalia.operators import bias, catalog, credibility, ethics, exports, extraction, graph, learning, privacy, vectors
 from marginalia.plans import text
 from marginalia.sources import readers
 from marginalia.streaming import state
@@ -202,3 +202,46 @@ def test_streams_equal_batches(spark, tmp_path):
         assert abs(last.ease - ease) < 1e-9 and (last.interval, last.repetitions) == (interval, reps)
     limited = state.run_available(state.rate_limited(stream().select(F.col("user_id").alias("client"), "ts"), limit=2, seconds=3600), "limited").collect()
     assert 0 < sum(r.allowed for r in limited) < len(limited)
+
+
+def test_longest_mentions_do_not_overlap(spark):
+    sents = spark.createDataFrame([(1, 0, "Graph Attention Network and attention, a GRAPH network."), (1, 1, "Attention attention"), (2, 0, "nothing")], "doc_id long, sent_id int, sentence string")
+    names = [(1, 1, "attention"), (1, 2, "graph attention network"), (1, 3, "Graph"), (1, 4, "network"), (2, 1, "other")]
+    got = {(r.doc_id, r.sent_id, r.text, r.start, r.end) for r in extraction.longest_mentions(sents, spark.createDataFrame(names, "doc_id long, ord int, text string")).collect()}
+    want = set()
+    for d, n, t in [(1, 0, "Graph Attention Network and attention, a GRAPH network."), (1, 1, "Attention attention")]:
+        taken = []
+        for _, o, e in sorted((x for x in names if x[0] == d), key=lambda x: (-len(x[2]), x[1])):
+            for at in range(len(t)):
+                if t.lower()[at : at + len(e)] == e.lower() and all(at + len(e) <= a or at >= b for a, b in taken):
+                    taken.append((at, at + len(e)))
+                    want.add((d, n, e, at, at + len(e)))
+    assert got == want and len(want) == 6
+
+
+def test_answers_in_every_form(spark):
+    texts = [
+        (1, '```json\n[{"pair": 1, "relation": "uses", "confidence": 0.9}, {"pair": 2, "relation": "NONE"}, {"pair": 9, "relation": "USES"}]\n```'),
+        (2, '{"relations": [{"pair": 2, "relation": "made up"}]}'), (3, "Pair 1: CITES\n2. PART_OF"), (4, "no idea"), (5, None),
+    ]
+    pairs = [(b, i, f"s{i}", f"t{i}") for b in range(1, 6) for i in (1, 2)]
+    r = extraction.parsed_answers(spark.createDataFrame(texts, "batch_id long, content string"), spark.createDataFrame(pairs, "batch_id long, pair int, source string, target string"))
+    got = sorted((x.batch_id, x.pair, x.source, x.type, x.confidence) for x in r.collect())
+    assert got == [(1, 1, "s1", "USES", 0.9), (2, 2, "s2", "RELATED_TO", 0.7), (3, 1, "s1", "CITES", 0.6), (3, 2, "s2", "PART_OF", 0.6)]
+
+
+def test_aliases_and_enhanced_relations(spark):
+    e = spark.createDataFrame([(1, "BERT", "TECHNOLOGY"), (1, "SQuAD", "DATASET")], "doc_id long, text string, type string")
+    refs = spark.createDataFrame([(1, "the model", "BERT"), (1, "it", "nobody")], "doc_id long, ref string, antecedent string")
+    assert {(r.text, r.type) for r in extraction.with_aliases(e, refs).collect()} == {("BERT", "TECHNOLOGY"), ("SQuAD", "DATASET"), ("the model (=BERT)", "TECHNOLOGY")}
+    pairs = spark.createDataFrame([(1, 0, "BERT was trained on SQuAD.", "BERT", "SQuAD", "TECHNOLOGY", "DATASET", 0.7)], "doc_id long, sent_id int, sentence string, source string, target string, source_type string, target_type string, base double")
+    got = extraction.enhanced_pipeline(pairs).collect()
+    # both methods find TRAINED_ON: (0.7 + 0.25) + 0.1 + 0.05, held at 0.99
+    assert [(r.source, r.target, r.type, round(r.confidence, 6), r["rank"]) for r in got] == [("BERT", "SQuAD", "TRAINED_ON", 0.99, 1)]
+
+
+def test_scheduler_states_come_back(spark, tmp_path):
+    states = spark.createDataFrame([("a", 2.5, 6, 2), ("b", 1.3, 1, 0)], "card_id string, ease double, interval int, repetitions int")
+    exports.scheduler_json(states).select("entry").write.text(str(tmp_path / "s"))
+    got = readers.scheduler_states(spark, str(tmp_path / "s"))
+    assert sorted((r.card_id, r.ease, r.interval, r.repetitions) for r in got.collect()) == [("a", 2.5, 6, 2), ("b", 1.3, 1, 0)]
