@@ -23,9 +23,9 @@ def shingles(t, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def groups(rows, percent=80):
+def groups(rows, percent=80, words=4):
     """Smallest id of each row's group, row by row; equal rows apart."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, words) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
