@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []  # folders of this process, in their order
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,7 +33,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -61,6 +63,17 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def kept_last(spark: SparkSession, since: int) -> int:
+    """Delete the folders made since there were ``since``, but for the last one, when nothing else reads them; how many are left."""
+    while len(_made) > since + 1:
+        discard(spark, _made.pop(-2))
+    return len(_made)
+
+
+def made() -> int:
+    return len(_made)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, for archive files that Spark's writers have no format for."""
     from pyarrow import fs
