@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm.common import stored
+from marginalia.llm.common import kept_last, made, stored
 from marginalia.llm.mixing import mix, mixed, quality_domains
 from marginalia.llm.neardup import deduplicated
 from marginalia.llm.packing import pack
@@ -48,7 +48,9 @@ ORACLE_SQL = None  # the classifier and the network are not SQL; tests hold the
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn; a stage's own tables, and the result before, are deleted once its result is written."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept_last(spark, since)
     return docs

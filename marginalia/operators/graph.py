@@ -134,18 +134,18 @@ def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.crossJoin(m).select("nodes", "edges", F.round(d, 9).alias("density"))  # one row each
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, component): the smallest node reachable when directions are ignored; by large and small stars."""
     spark = edges.sparkSession
     e = _cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # each round at least halves what is left of the longest path
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         j = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = _cut(j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now

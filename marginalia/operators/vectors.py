@@ -38,24 +38,32 @@ def knn(store: DataFrame, query: list[float], k: int, where: Column | None = Non
     return s.withColumn("distance", d).orderBy("distance", key).limit(k).select(key, "distance", (1 / (1 + F.col("distance"))).alias("score"))
 
 
-def knn_batch(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """(query_id, vec_id, distance, rank) for every query row, exactly, by squared distance; ties to the smaller id.
+def knn_batch(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048, by_cosine: bool = False) -> DataFrame:
+    """(query_id, vec_id, distance, rank) for every query row, exactly; ties to the smaller id.
 
-    Blocks of queries are copied to every block of the store's rows and compared there as matrices; each pair of blocks
-    hands on the ``k`` best of its queries.
+    The distance is the squared one, or with ``by_cosine`` one less the cosine (a zero vector is at distance 1). Blocks of
+    queries meet blocks of the store's rows on a grid of keys, one pair of blocks a key, and are compared as matrices;
+    each pair hands on the ``k`` best of its queries.
     """
     n_blocks = lambda n: max(1, -(-n // block))
     nq, ns = n_blocks(queries.count()), n_blocks(store.count())
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda df, id_name, blocks, name: df.select(F.col(key).cast("long").alias(id_name), F.col(vector).alias(f"{name}v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name)).groupBy(name).agg(F.collect_list(id_name).alias(id_name), F.flatten(F.collect_list(f"{name}v")).alias(f"{name}v"))
-    left = part(queries, "qid", nq, "qb").withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    pairs = left.join(part(store, "sid", ns, "sb"), "sb").select("qid", "qbv", "sid", "sbv")
+    left, right = part(queries, "qid", nq, "qb").withColumn("sb", every(ns)), part(store, "sid", ns, "sb").withColumn("qb", every(nq))
+    pairs = left.join(right, ["sb", "qb"]).select("qid", "qbv", "sid", "sbv")
+
+    def unit(m):
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
     def run(batches):
         for t in batches:
             for qid, qv, sid, sv in zip(*(t.column(c).to_pylist() for c in ("qid", "qbv", "sid", "sbv")), strict=True):
-                x, y, ids = np.array(qv).reshape(len(qid), -1), np.array(sv).reshape(len(sid), -1), np.array(sid)
+                x, y, ids = np.array(qv, float).reshape(len(qid), -1), np.array(sv, float).reshape(len(sid), -1), np.array(sid)
+                if by_cosine:
+                    x, y = unit(x), unit(y)
                 for q, row in zip(qid, x, strict=True):
-                    d = ((y - row) ** 2).sum(1)
+                    d = 1 - y @ row if by_cosine else ((y - row) ** 2).sum(1)
                     top = np.lexsort((ids, d))[:k]
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(top), pa.int64()), "vec_id": pa.array(ids[top]), "distance": pa.array(d[top])})
 
@@ -64,15 +72,6 @@ def knn_batch(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rank_all(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", metric=squared_l2, descending: bool = False) -> DataFrame:
-    """(query_id, vec_id, distance, rank) for a small, checked set of queries that is sent to every task."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    d = store.crossJoin(F.broadcast(q)).withColumn("distance", metric(F.col(vector), F.col("_q")))
-    order = F.desc("distance") if descending else F.asc("distance")
-    w = Window.partitionBy("query_id").orderBy(order, key)
-    return d.select("query_id", F.col(key), "distance").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 class Store:
     """A table of vectors with one interface for adding, searching, deleting and a health report; each call gives a new store."""
 

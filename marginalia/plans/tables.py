@@ -36,10 +36,10 @@ def query_builder(spark, sf):
     return q.filter(F.col("n_chars") > 500).filter_by(lang="fr", unknown=1).search(["text"], "que").order_by("n_chars", True).order_by("doc_id").offset(5).limit(25).build().drop("text")
 
 
-@query("SELECT conv_id, len(list(turn)) AS turns, array_to_string(list(role ORDER BY role, turn), ' ') AS roles FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id")
+@query("SELECT conv_id, len(list(turn)) AS turns, array_to_string(list(role ORDER BY role, turn), ' ') AS roles FROM conversations GROUP BY conv_id")
 def eager_load(spark, sf):
     c = read(spark, sf, "conversations")
-    q = catalog.Query(c.select("conv_id").distinct()).filter(F.col("conv_id") % 2 == 0).load(c.select("conv_id", "role", "turn"), "conv_id", "turns")
+    q = catalog.Query(c.select("conv_id").distinct()).load(c.select("conv_id", "role", "turn"), "conv_id", "turns")
     return q.build().select("conv_id", F.size("turns").cast("long").alias("turns"), F.array_join("turns.role", " ").alias("roles"))
 
 
@@ -226,16 +226,16 @@ def knn_filtered(spark, sf):
     return r.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, s.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQL_D}, s.vec_id) AS rank FROM embeddings s, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+@query(f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, s.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQL_D}, s.vec_id) AS rank FROM embeddings s, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
 def knn_batch(spark, sf):
     e = read(spark, sf, "embeddings")
-    return vectors.knn_batch(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return vectors.knn_batch(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, s.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(s.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, s.vec_id) AS rank FROM embeddings s, embeddings q WHERE q.vec_id < 5) WHERE rank <= 10")
+@query("SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, s.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(s.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, s.vec_id) AS rank FROM embeddings s, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10")
 def knn_cosine(spark, sf):
     e = read(spark, sf, "embeddings")
-    r = vectors.rank_all(e, e.where("vec_id < 5"), 10, metric=vectors.cosine, descending=True)  # five queries
+    r = vectors.knn_batch(e, e.where("vec_id % 20 = 0"), 10, by_cosine=True)
     return r.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
