@@ -23,7 +23,15 @@ SENT_ROWS = 300_000
 _URN = "urn:marginalia:page:"
 #: Columns that come from headers alone, so that filters on them need no payload.
 _HEADER_COLUMNS = ("record_type", "page_id", "target_uri", "payload_digest", "refers_to", "full_length")
-_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+
+
+def _record_id(page_id: int | None) -> str:
+    """A record's name: that of its page, so that a revisit can refer to it; pages without an id have names of their own."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{_URN}{page_id}')}>"
+
+
+def _http(length: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
 def classify(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -46,14 +54,14 @@ def classify(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_c
 
 
 def _record(page_id, url, html, digest, length, kind, refers_to) -> bytes:
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {length}", "Content-Type: application/http; msgtype=response"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {length}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
         head.append(f"X-Page: <{_URN}{page_id}>")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{refers_to}>"]
-    block = _HTTP if kind == "revisit" else _HTTP + html.encode()
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-Page: <{_URN}{refers_to}>"]
+    block = _http(length) if kind == "revisit" else _http(length) + html.encode()
     return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -69,7 +77,7 @@ def write_warc(records: DataFrame, archive_bytes: int = 512 << 20, block_bytes:
         fs.create_dir(base, recursive=True)
         out = name = None
         size, blocks = 0, []
-        info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nsoftware: marginalia\r\n\r\n"
+        info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: " + _record_id(None).encode() + b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nsoftware: marginalia\r\n\r\n"
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
@@ -146,7 +154,7 @@ class WarcReader(DataSourceReader):
         page = lambda k: int(h[k][len(_URN) + 1 : -1]) if k in h else None
         uri = h.get("WARC-Target-URI")
         return {
-            "record_type": h.get("WARC-Type"), "page_id": page("X-Page"), "refers_to": page("WARC-Refers-To"),
+            "record_type": h.get("WARC-Type"), "page_id": page("X-Page"), "refers_to": page("X-Refers-Page"),
             "target_uri": None if uri is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), uri),
             "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in h else None,
             "full_length": int(h["X-Payload-Length"]) if "X-Payload-Length" in h else None, "length": int(h["Content-Length"]),

@@ -8,10 +8,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marginalia.llm import ann, mixing, neardup, packing, toxicity, warc
+from marginalia.llm.common import file_system
 from tests.llm.conftest import awkward_rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -126,6 +128,15 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_revisits_refer_to_records(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i}", "z" * 2000) for i in range(3)], "page_id long, url string, html string")
+    fs, base = file_system(warc.write_warc(warc.classify(df)))
+    data = b"".join(fs.open_input_file(f.path).read() for f in fs.get_file_info(FileSelector(base)) if f.path.endswith(".warc"))
+    names, refers = (re.findall(rb"\r\n%b: (<urn:uuid:[^>]+>)" % h, data) for h in (b"WARC-Record-ID", b"WARC-Refers-To"))
+    response = re.search(rb"WARC-Type: response\r\nWARC-Record-ID: (\S+)", data)[1]
+    assert len(names) == len(set(names)) >= 4 and set(refers) == {response} and len(refers) == 2
+
+
 def test_warc_headers_decide_before_payloads(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", "y" * (2000 if i % 2 else 50) + str(i % 4)) for i in range(40)], "page_id long, url string, html string")
     root = warc.write_warc(warc.classify(df), block_bytes=5000)

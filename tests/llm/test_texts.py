@@ -98,6 +98,17 @@ def test_license_diagonals_merge_over_an_inserted_word(spark):
     assert r[0].labels == "mit" and len(r[0].spans) == 1 and r[0].spans[0].start == 0 and r[1].labels == ""
 
 
+def test_whole_licenses_are_spans(spark):
+    whole = {label: t for label, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 300}
+    docs = [(i, f"some code before\n{t}\nand after") for i, t in enumerate(whole.values())]
+    docs += [(10 + i, re.sub("(the|THE)", r"\1 very", t, count=3)) for i, t in enumerate(whole.values())]  # words put in
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, label in enumerate(whole):
+        for d in (i, 10 + i):
+            assert label in got[d].labels.split(",") and any(s.label == label and s.end - s.start > 0.8 * len(licenses.words(whole[label])) for s in got[d].spans)
+    assert len(whole) >= 4
+
+
 def spans(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
