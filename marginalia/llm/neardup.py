@@ -20,7 +20,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -191,19 +190,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     cell = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(side)), F.lit(side)).cast("int")
     dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
     ends = stored(dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct(), "neardup-ends")
-    needed = _sent(ends).join(texts, "node").select(F.col("cell").alias("at"), "node", "text")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(words)
-        sets = {i: shingles(t) for i, t in zip(right["node"], right["text"], strict=True)}
+    text = F.lit(None).cast("string").alias("text")
+    zero = [F.lit(0).alias("i"), F.lit(0).alias("j")]
+    rows = dealt.select("cell", *zero, "a", "b", text).union(_sent(ends).join(texts, "node").select("cell", *zero, F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"), "text"))
+
+    def of_cell(_, a, b, texts):
+        shingles, node = Shingler(words), b < 0
+        sets = {i: shingles(t) for i, t in zip(a[node].tolist(), texts[node], strict=True)}
+        a, b = a[~node], b[~node]
         ok = []
-        for a, b in zip(left["a"], left["b"], strict=True):
-            x, y = sets[a], sets[b]
+        for x, y in ((sets[p], sets[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)):
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        return left[np.array(ok, bool)][["a", "b"]]
+        return (a[ok], b[ok]) if any(ok) else None
+
+    return stored(_by_cell(rows, ["cell"], {"a": np.asarray, "b": np.asarray, "text": _texts}, of_cell), "neardup-links")
+
 
-    return stored(dealt.groupBy("cell").cogroup(needed.groupBy("at")).applyInPandas(run, "a long, b long"), "neardup-links")
+def _texts(column: pa.Array) -> np.ndarray:
+    return np.array([*column.to_pylist(), None], object)[:-1]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,7 +382,7 @@ def joining(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent:
 
 
 def _joined(families: DataFrame, rooted: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components of the same family; families: node, root (the family's name)."""
+    """Confirmed links of the same family, as the roots (a, b) that they connect; families: node, root (the family's name)."""
     members = stored(families.select("node", F.col("root").alias("family")).join(rooted.select("node", "root", "n"), "node"), "neardup-members")
     by_root = members.groupBy("family", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     whole = by_root.groupBy("family").agg(F.max(F.struct("size", "root", "shingles")).alias("top"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"))
@@ -387,12 +392,12 @@ def _joined(families: DataFrame, rooted: DataFrame, texts: DataFrame, words: int
     cells = stored(_dealt(placed, ["family"], F.col("root") == F.col("big"), F.col("big_blocks"), F.col("other_blocks")).select("family", "i", "j", "mine", "node", "root"), "neardup-cells")
     rows = _sent(cells).join(texts, "node").select("family", "i", "j", "mine", "node", "root", "text")
 
-    def of_cell(_, mine, node, root, texts):
+    def of_cell(_, mine, root, texts):
         shingles = Shingler(words)
         links = joining([shingles(t) for t in texts], mine, root, percent)
-        return tuple(node[np.array(x)] for x in zip(*links, strict=True)) if links else None
+        return tuple(root[np.array(x)] for x in zip(*links, strict=True)) if links else None
 
-    held = dict.fromkeys(("mine", "node", "root"), np.asarray) | {"text": lambda c: np.array(c.to_pylist(), object)}
+    held = dict.fromkeys(("mine", "root"), np.asarray) | {"text": _texts}
     return stored(_by_cell(rows, ["family"], held, of_cell), "neardup-joined")
 
 
@@ -423,10 +428,10 @@ def _groups(docs: DataFrame, words: int, percent: int, text_col: str) -> tuple[D
     one = _near(pairs, plain, lay).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     links = _confirmed(one, texts, words, percent)
     # What is left between components, family by family.
-    rooted = stored(_rooted(plain.select("node", "n"), components(links)), "neardup-rooted")
+    rooted = stored(_rooted(nodes.select("node", "n", "digest"), components(links)), "neardup-rooted")
     families = components(_family_links(_mixed_members(plain, rooted, lay), lay))
-    links = links.union(_joined(families, rooted, texts, words, percent))
-    by_set = _rooted(nodes.select("digest", "n", "node"), components(links)).drop("node")
+    above = components(_joined(families, rooted, texts, words, percent)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    by_set = rooted.join(above, "root", "left").select("digest", "n", F.coalesce("top", "root").alias("root"))
     return rows, small.join(by_set, ["digest", "n"], "left").select("uid", F.coalesce("root", "uid").alias("root")), uid, of
 
 
