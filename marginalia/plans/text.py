@@ -203,19 +203,21 @@ def findings_by_severity(spark, sf):
 _SQL_INCLUSIVITY = f"""b AS (SELECT doc_id, len({SQL_WORDS}) AS nw, length(regexp_replace(text, '\\s+', '', 'g')) AS letters, len({SQL_SIMPLE}) AS ns,
 coalesce(list_sum(list_transform({SQL_SIMPLE}, lambda s: len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')))), 0) AS sw,
 {_SQL_GENDERED} AS g, {_COUNT_IN.format(terms=_COMPLEX)} AS cx,
-len(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(was|were|been|being|is|are)\\s+{WORD}+ed(?:$|[^\\p{{L}}\\p{{N}}\\p{{M}}_])')) AS pv FROM documents),
+len(list_filter(range(1, len(tk) - 1), lambda i: tk[i] IN ('was', 'were', 'been', 'being', 'is', 'are') AND regexp_full_match(tk[i + 1], '\\s+') AND tk[i + 2] LIKE '_%ed' AND regexp_full_match(tk[i + 2], '{WORD}+'))) AS pv FROM (SELECT *, regexp_extract_all(lower(text), '{WORD}+|\\s+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]+') AS tk FROM documents)),
 m AS (SELECT *, greatest(0, 100 - g / greatest(1, nw) * 1000) AS gn, letters / greatest(1, nw) AS wl, sw / greatest(1, ns) AS sl FROM b),
 k AS (SELECT *, greatest(0, 100 - (wl - 4) * 10 - cx * 2) AS ac FROM m)"""
 
 
 @query(f"""WITH {_SQL_INCLUSIVITY} SELECT doc_id, round(gn, 4) AS gender_neutral, round(ac, 4) AS accessible, cx AS complex_terms, round(sl, 4) AS sentence_length,
-CASE WHEN sl < 15 AND wl < 5 THEN 'elementary' WHEN sl < 25 AND wl < 6 THEN 'intermediate' ELSE 'advanced' END AS reading_level FROM k""")
+CASE WHEN sl < 15 AND wl < 5 THEN 'elementary' WHEN sl < 25 AND wl < 6 THEN 'intermediate' ELSE 'advanced' END AS reading_level,
+round(pv / greatest(1, ns), 4) AS passive_ratio, round(gn * 0.3 + ac * 0.4 + greatest(0, 100 - pv / greatest(1, ns) * 50) * 0.3, 4) AS overall FROM k""")
 def inclusivity(spark, sf):
     m = bias.inclusivity(read(spark, sf, "documents"))
-    return m.select("doc_id", "gender_neutral", "accessible", F.col("complex_terms").cast("long").alias("complex_terms"), "sentence_length", "reading_level")
+    return m.select("doc_id", "gender_neutral", "accessible", F.col("complex_terms").cast("long").alias("complex_terms"), "sentence_length", "reading_level", "passive_ratio", "overall")
 
 
-@query()
+@query(f"""WITH {_SQL_INCLUSIVITY} SELECT doc_id, array_to_string(list_filter([CASE WHEN round(gn, 4) < 80 THEN 'Use gender-neutral language' END, CASE WHEN round(ac, 4) < 60 THEN 'Use simpler words' END,
+CASE WHEN round(pv / greatest(1, ns), 4) > 0.5 THEN 'Prefer the active voice' END, CASE WHEN round(sl, 4) > 25 THEN 'Shorten sentences' END, CASE WHEN cx > 3 THEN 'Replace jargon' END], lambda x: x IS NOT NULL), '; ') AS advice FROM k""")
 def inclusivity_advice(spark, sf):
     return bias.recommendations(bias.inclusivity(read(spark, sf, "documents")))
 
