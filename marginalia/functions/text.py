@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 #: Words that carry no topic.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need "
-    "dare ought used to of in for on with at by from as into through during before after above below between under again "
-    "further then once here there when where why how all each few more most other some such no nor not only own same so "
-    "than too very just and but if or because until while this that these those it"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there",
+    "when", "where", "why", "how", "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "and", "but", "if", "or", "because", "until", "while", "this", "that", "these", "those", "it",
+)
 #: Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ("et al.", "i.e.", "e.g.", "vs.")
 _DOT = "․"  # stands for a protected point while sentences are split
@@ -28,12 +29,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
+SENTENCE_GAP = r"(?<=[.!?])\s+"
+
+
+def protected(text: Column) -> Column:
+    """The text with other characters, as many, for the points of abbreviations."""
+    for a in ABBREVIATIONS:
+        text = F.regexp_replace(text, r"\b" + a.replace(".", r"\."), a.replace(".", _DOT))
+    return text
+
+
+def unprotected(text: Column) -> Column:
+    return F.replace(text, F.lit(_DOT), F.lit("."))
+
+
 def sentences(text: Column) -> Column:
     """Trimmed sentences, cut after . ! ? before white space; points of abbreviations don't count."""
-    protected = text
-    for a in ABBREVIATIONS:
-        protected = F.regexp_replace(protected, r"\b" + a.replace(".", r"\."), a.replace(".", _DOT))
-    parts = F.transform(F.split(protected, r"(?<=[.!?])\s+"), lambda s: F.trim(F.replace(s, F.lit(_DOT), F.lit("."))))
+    parts = F.transform(F.split(protected(text), SENTENCE_GAP), lambda s: F.trim(unprotected(s)))
     return F.filter(parts, lambda s: s != "")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marginalia.functions.text import cloze_terms, simple_sentences
+from marginalia.operators.places import with_places
 
 #: Citation types in each format.
 RIS = {"journalArticle": "JOUR", "book": "BOOK", "bookSection": "CHAP", "conferencePaper": "CONF", "thesis": "THES", "report": "RPRT", "webpage": "ELEC", "preprint": "UNPB"}
@@ -147,9 +147,8 @@ def ris(items: DataFrame) -> DataFrame:
 
 
 def bibtex(items: DataFrame, order: str = "item_id") -> DataFrame:
-    """Entries with keys of the first author's name, the year and the item's place (from 0) in ``order``."""
-    n = F.row_number().over(Window.orderBy(order)) - 1  # the place among all items is the format's own key
-    it = items.withColumn("_i", n)
+    """Entries with keys of the first author's name, the year and the item's place (from 0) among all of them in ``order``."""
+    it = with_places(items, order, name="_i")
     field = lambda k, c: F.when(_given(c), F.concat(F.lit(f"  {k} = {{"), F.col(c), F.lit("},")))
     kind = _kind(BIBTEX, "misc")
     last = F.coalesce(F.try_element_at("authors", F.lit(1))["last"], F.lit("Unknown"))

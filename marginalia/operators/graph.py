@@ -5,10 +5,14 @@ Iterative operators write each level to the checkpoint folder where one is set,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.operators.places import stored
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the checkpoint folder if the session has one; else keep the level's rows for the next one."""
@@ -153,44 +157,72 @@ def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(roots, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
-def betweenness(edges: DataFrame, group: str, most_nodes: int = 2000) -> DataFrame:
-    """(group, node, betweenness) by Brandes' accumulation inside each bounded group of edges, over (n - 1)(n - 2).
-
-    edges: group, src, dst. A group of more than ``most_nodes`` nodes is refused, as its work grows with its square.
+def _levels(e: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Forward rounds: level d holds (g, source, node, paths) for nodes whose shortest paths from the source have d edges, with their number."""
+    levels = [stored(sources.select("g", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "paths")]
+    seen = levels[0].select("g", "source", "node")
+    step = e.select("g", F.col("src").alias("node"), "dst")
+    while True:
+        ahead = levels[-1].join(step, ["g", "node"]).groupBy("g", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = stored(ahead.join(seen, ["g", "source", "node"], "left_anti"), "paths")
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+        seen = seen.unionByName(level.select("g", "source", "node"))
+
+
+def _dependencies(e: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Backward rounds: (g, node, x), how much of each source's shortest paths to other nodes runs through the node."""
+    below, parts = levels[-1].withColumn("x", F.lit(0.0)), []
+    back = e.select("g", F.col("dst").alias("node"), "src")
+    for level in reversed(levels[1:-1]):
+        share = below.join(back, ["g", "node"]).groupBy("g", "source", F.col("src").alias("node")).agg(F.sum((1 + F.col("x")) / F.col("paths")).alias("share"))
+        below = stored(level.join(share, ["g", "source", "node"], "left").select("g", "source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("x")), "paths")
+        parts.append(below.groupBy("g", "node").agg(F.sum("x").alias("x")))
+    return reduce(DataFrame.unionByName, parts) if parts else levels[0].select("g", "node", F.lit(0.0).alias("x")).limit(0)
+
+
+def betweenness(edges: DataFrame, group: str | None = None, sample: float | None = None, block: int = 1000, seed: int = 1) -> DataFrame:
+    """(group, node, betweenness[, error]): the share of shortest directed paths that run through each node, over (n - 1)(n - 2).
+
+    edges: src, dst and perhaps ``group``, whose graphs stand apart. Shortest paths are counted level by level from many
+    sources at once and their shares summed level by level back, all by joins on (source, node); ``block`` sources at a time
+    bound what is kept (block x nodes rows). All nodes are sources, or the ``sample`` share of them that a hash with the
+    seed picks: then the sums are scaled up, and ``error`` is the standard error of the estimate. Loops and repeated edges
+    count nothing; a graph of one or two nodes has 0; an empty table gives no rows.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            out.setdefault(s, set()).add(d)
-            out.setdefault(d, set())
-        nodes = sorted(out)
-        if len(nodes) > most_nodes:
-            raise ValueError(f"{len(nodes)} nodes in a group")
-        total = dict.fromkeys(nodes, 0.0)
-        for s in nodes:
-            depth, paths, order, parents = {s: 0}, {s: 1.0}, [s], {}
-            for v in order:
-                for w in sorted(out[v]):
-                    if w not in depth:
-                        depth[w], paths[w] = depth[v] + 1, 0.0
-                        order.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        parents.setdefault(w, []).append(v)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in parents.get(w, ()):
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != s:
-                    total[w] += share[w]
-        n = len(nodes)
-        scale = (n - 1) * (n - 2) if n > 2 else 1
-        return pd.DataFrame({group: pdf[group].iloc[0], "node": nodes, "betweenness": [total[v] / scale for v in nodes]})
-
-    kind = dict(edges.dtypes)
-    return edges.select(group, "src", "dst").distinct().groupBy(group).applyInPandas(run, f"{group} {kind[group]}, node {kind['src']}, betweenness double")
+    e = stored(edges.select((F.col(group) if group else F.lit(0)).alias("g"), "src", "dst").where("src <> dst").distinct(), "edges")
+    ends = edges.select((F.col(group) if group else F.lit(0)).alias("g"), F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").isNotNull()).distinct()
+    nodes = stored(ends, "nodes")
+    picked = F.lit(True) if sample is None else F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(sample * 1_000_000)
+    sources = nodes.where(picked)
+    blocks = -(-sources.count() // block)
+    sums = []
+    for i in range(blocks):
+        some = sources.where(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(blocks)) == i)
+        sums.append(_dependencies(e, _levels(e, some)).withColumn("block", F.lit(i)))
+    size = nodes.groupBy("g").agg(F.count("*").alias("n"), F.count_if(picked).alias("m"))
+    scale = F.col("n") / F.col("m") / F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))
+    j = nodes.join(size, "g")
+    if not sums:
+        return j.select(*([F.col("g").alias(group)] if group else []), "node", F.lit(0.0).alias("betweenness")).limit(0 if sample is None else 2**31 - 1)
+    through = reduce(DataFrame.unionByName, sums).groupBy("g", "node", "block").agg(F.sum("x").alias("x")).groupBy("g", "node").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("k"))
+    j = j.join(through, ["g", "node"], "left")
+    out = [F.coalesce(F.col("x") * scale, F.lit(0.0)).alias("betweenness")]
+    if sample is not None:  # from the spread between blocks of sources
+        spread = F.greatest(F.lit(0.0), F.col("xx") - F.col("x") * F.col("x") / blocks) * blocks / F.greatest(F.lit(1), F.lit(blocks - 1))
+        out.append((F.sqrt(F.coalesce(spread, F.lit(0.0))) * scale).alias("error") if blocks > 1 else F.lit(None).cast("double").alias("error"))
+    return j.select(*([F.col("g").alias(group)] if group else []), "node", *out)
+
+
+def top_bridges(between: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` nodes through which most shortest paths run, of those that any runs through; ties to the smaller node."""
+    return between.where(F.round("betweenness", 12) > 0).orderBy(F.desc(F.round("betweenness", 12)), "node").limit(k).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+def top_central(degrees: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` nodes with the highest degree centrality; ties to the smaller node."""
+    return degrees.orderBy(F.desc("centrality"), "node_id").limit(k)
 
 
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marginalia.functions.text import preview, term_counts, topic_tokens
+from marginalia.operators.places import with_places
 
 
 def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,9 +75,11 @@ def rank_passages(docs: DataFrame, query: str, k: int = 10, idf: DataFrame | Non
 def focus_order(docs: DataFrame, query: str, threshold: float = 0.5, group: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections in the order of focus inside each group, and whether each should be expanded."""
     scored = docs.select(id_col, group).join(cosine_to_query(docs, query, None, id_col, text_col), id_col, "left")
-    score = F.round(F.coalesce("tfidf", F.lit(0.0)), 4)
-    order = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("focus_score"), id_col))
-    return scored.withColumn("focus_score", score).select(group, id_col, "focus_score", (F.col("focus_score") >= threshold).alias("should_expand"), order.alias("focus_order"))
+    scored = scored.withColumn("focus_score", F.round(F.coalesce("tfidf", F.lit(0.0)), 4))
+    placed = with_places(scored.select(group, id_col, "focus_score"), group, F.desc("focus_score"), id_col, name="_place")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))  # places run through the groups one after another
+    j = placed.join(first, placed[group].eqNullSafe(first[group])).drop(first[group])
+    return j.select(group, id_col, "focus_score", (F.col("focus_score") >= threshold).alias("should_expand"), (F.col("_place") - F.col("_first") + 1).alias("focus_order"))
 
 
 def keywords(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,12 +96,6 @@ def merged_relations(spark, sf):
     return extraction.merged_relations(once, "sent_id").withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
-def longest_mentions(spark, sf):
-    docs = read(spark, sf, "documents")
-    return extraction.longest_mentions(extraction.sentence_rows(docs), extraction.capitalised_entities(docs, None))
-
-
 @query()
 def enhanced_relations(spark, sf):
     return extraction.enhanced_pipeline(text._typed(spark, sf)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")

@@ -198,10 +198,30 @@ def missing_endpoints(spark, sf):
     return graph.missing_endpoints(e, n.unionByName(e.select(F.col("src").alias("node_id"))))
 
 
-@query()
+_SQL_BETWEEN = f"""RECURSIVE {_SQL_GRAPH}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+far AS (SELECT node_id AS s, node_id AS v, 0 AS d FROM nodes UNION SELECT s, dst, d + 1 FROM far JOIN e ON v = src WHERE d < 9),
+dist AS (SELECT s, v, min(d) AS d FROM far GROUP BY ALL),
+walk AS (SELECT node_id AS s, node_id AS v, 0 AS d FROM nodes UNION ALL SELECT w.s, dst, w.d + 1 FROM walk w JOIN e ON w.v = src JOIN dist t ON t.s = w.s AND t.v = dst AND t.d = w.d + 1),
+paths AS (SELECT s, v, d, count(*) AS k FROM walk GROUP BY ALL),
+x AS (SELECT a.v, sum(a.k * b.k / c.k) AS x FROM paths a JOIN paths b ON a.v = b.s AND b.d > 0 AND a.d > 0 JOIN paths c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d GROUP BY a.v),
+between AS (SELECT node_id AS node, coalesce(x, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2) AS b FROM nodes LEFT JOIN x ON node_id = v)"""
+
+
+@query(f"WITH {_SQL_BETWEEN} SELECT node, round(b, 9)::DOUBLE AS betweenness FROM between")
 def betweenness(spark, sf):
-    e = _edges(spark, sf).where("type in ('part_of', 'next_to')").withColumn("g", F.lit(0))
-    return graph.betweenness(e, "g").select("node", F.round("betweenness", 9).alias("betweenness"))
+    return graph.betweenness(_edges(spark, sf)).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query(f"WITH {_SQL_BETWEEN} SELECT node, round(b, 9)::DOUBLE AS betweenness FROM between WHERE round(b, 12) > 0 ORDER BY round(b, 12) DESC, node LIMIT 5")
+def bridge_nodes(spark, sf):
+    return graph.top_bridges(graph.betweenness(_edges(spark, sf)))
+
+
+@query(f"""WITH {_SQL_GRAPH}, e AS (SELECT DISTINCT src, dst FROM edges), o AS (SELECT src AS node_id, count(*) AS o FROM e GROUP BY src), i AS (SELECT dst AS node_id, count(*) AS i FROM e GROUP BY dst)
+SELECT node_id, round((coalesce(i, 0) + coalesce(o, 0)) / ((SELECT count(*) FROM nodes) - 1), 9) AS centrality FROM nodes LEFT JOIN o USING (node_id) LEFT JOIN i USING (node_id) ORDER BY centrality DESC, node_id LIMIT 10""")
+def central_nodes(spark, sf):
+    e = _edges(spark, sf)
+    return graph.top_central(graph.degrees(e, _nodes(e))).select("node_id", "centrality")
 
 
 # Vectors

@@ -74,9 +74,8 @@ def simple_sentences(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(T.simple_sentences(F.col("text"))).cast("long").alias("n"))
 
 
-_VERBS = [v for vs in extraction.VERBS.values() for v in vs.split()]
-_SQL_TAG = f"""CASE WHEN regexp_matches(t, '^[.,;:!?]$') THEN 'PUNCT' WHEN lower(t) IN {tuple(_VERBS)} THEN 'VERB' WHEN lower(t) IN {tuple(extraction.DETERMINERS.split())} THEN 'DET'
-WHEN lower(t) IN {tuple([*extraction.PREPOSITIONS, 'of', 'to'])} THEN 'ADP' WHEN lower(t) IN {tuple(extraction.AUXILIARIES.split())} THEN 'AUX' WHEN lower(t) IN {tuple(extraction.CONJUNCTIONS.split())} THEN 'CCONJ'
+_SQL_TAG = f"""CASE WHEN regexp_matches(t, '^[.,;:!?]$') THEN 'PUNCT' WHEN lower(t) IN {tuple(extraction.VERBS)} THEN 'VERB' WHEN lower(t) IN {extraction.DETERMINERS} THEN 'DET'
+WHEN lower(t) IN {(*extraction.PREPOSITIONS, *extraction.MORE_PREPOSITIONS)} THEN 'ADP' WHEN lower(t) IN {extraction.AUXILIARIES} THEN 'AUX' WHEN lower(t) IN {extraction.CONJUNCTIONS} THEN 'CCONJ'
 WHEN regexp_matches(t, '^\\p{{Lu}}') AND i > 1 THEN 'PROPN' WHEN regexp_matches(t, '^\\p{{Lu}}') THEN 'NOUN' WHEN lower(t) LIKE '%ly' THEN 'ADV' WHEN lower(t) LIKE '%ing' OR lower(t) LIKE '%ed' THEN 'VERB' ELSE 'NOUN' END"""
 _SQL_TAGGED = f"""sents AS (SELECT doc_id, unnest({SQL_SENTENCES}) AS s, generate_subscripts({SQL_SENTENCES}, 1) - 1 AS sent_id FROM documents),
 toks AS (SELECT doc_id, sent_id, regexp_extract_all(s, '{WORD}(?:[\\p{{L}}\\p{{N}}\\p{{M}}_\\-]*{WORD})?|[.,;:!?]') AS ts FROM sents),
@@ -123,7 +122,7 @@ pairs AS (SELECT a.doc_id, a.sent_id, a.sentence, a.ord AS source_ord, a.text AS
 def _pairs(spark, sf):
     docs = read(spark, sf, "documents")
     entities = extraction.capitalised_entities(docs, None)
-    return extraction.pairs_in_sentence(extraction.in_sentence(extraction.sentence_rows(docs), entities))
+    return extraction.pairs_in_sentence(extraction.sentence_hits(docs, entities))
 
 
 @query(f"WITH {_SQL_ENTITIES} SELECT doc_id, ord, text, n FROM ents WHERE ord <= 6")
@@ -138,7 +137,7 @@ def cooccurrence_pairs(spark, sf):
 
 
 _TYPES = ("PERSON", "ORGANIZATION", "TECHNOLOGY", "METHOD", "DATASET", "CONCEPT")
-_VALID_SQL = ", ".join(f"('{a}', '{b}', {'true' if 'RELATED_TO' in ts.split() else 'false'}, '{ts.split()[0]}')" for (a, b), ts in extraction.VALID_TYPES.items())
+_VALID_SQL = ", ".join(f"('{a}', '{b}', {'true' if 'RELATED_TO' in ts else 'false'}, '{ts[0]}')" for (a, b), ts in extraction.VALID_TYPES.items())
 _SQL_TYPED = f"""{_SQL_PAIRS}, v(st, tt, free, first) AS (VALUES {_VALID_SQL}),
 tp AS (SELECT *, {list(_TYPES)}[(source_ord - 1) % 6 + 1] AS st, {list(_TYPES)}[(target_ord - 1) % 6 + 1] AS tt, abs(instr(lower(sentence), lower(source)) - instr(lower(sentence), lower(target))) AS gap FROM pairs),
 co AS (SELECT doc_id, sent_id, source, target, CASE WHEN free THEN 'RELATED_TO' ELSE first END AS type, (least(0.95, 0.6 + CASE WHEN gap < 50 THEN 0.1 WHEN gap < 100 THEN 0.05 ELSE 0 END) * 0.7)::DOUBLE AS confidence FROM tp JOIN v USING (st, tt))"""
