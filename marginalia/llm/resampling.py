@@ -92,13 +92,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def run_buckets(row: np.ndarray, crc: np.ndarray, lengths: np.ndarray, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every run of 1 to ``longest`` words of one text, joined by one space, in the rows' order."""
-    rows, found, run = [row], [crc % buckets], crc
+    rows, found, run = [row], [crc.astype(np.int64) % buckets], crc
     for n in range(2, longest + 1):
         same = row[n - 1 :] == row[: len(row) - n + 1]
         last, size = crc[n - 1 :], lengths[n - 1 :]
         run = shifted(run[: len(last)], size + 1) ^ shifted(np.full(len(last), _SPACE, np.uint32), size) ^ last
         rows.append(row[n - 1 :][same])
-        found.append(run[same] % buckets)
+        found.append(run[same].astype(np.int64) % buckets)
     rows, found = np.concatenate(rows), np.concatenate(found)
     order = np.argsort(rows, kind="stable") if longest > 1 else slice(None)
     return rows[order], found[order]

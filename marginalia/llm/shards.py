@@ -21,6 +21,10 @@ def _keyed(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     return docs.withColumns({names[0]: F.xxhash64(text), names[1]: (F.octet_length(text) + 1).cast("long")})
 
 
+def _number(kind: str) -> bool:
+    return kind.split("(")[0] in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}
+
+
 def text_groups(keyed: DataFrame, key: str, size: str, dimensions: tuple[str, ...]) -> DataFrame:
     """(key, w, n, dims): one row for each text, its bytes and rows, and its places from 0 to 4095 in each dimension and in log size.
 
@@ -28,7 +32,7 @@ def text_groups(keyed: DataFrame, key: str, size: str, dimensions: tuple[str, ..
     values where their hash says; null stands at 0.
     """
     kinds = dict(keyed.dtypes)
-    number = lambda c: kinds[c].split("(")[0] in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}
+    number = lambda c: _number(kinds[c])
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if number(c) else F.col(c).cast("string")
     least = [F.min(value(c)).alias(f"d{i}") for i, c in enumerate(dimensions)]
     g = keyed.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("w"), F.count("*").alias("n"), F.max(size).alias("size"), *least)
@@ -78,9 +82,10 @@ def _medians(lights: DataFrame, wanted: dict[int, tuple[int, float]], exact: flo
     return cuts
 
 
-def kd_tree(groups: DataFrame, shards: int, fine: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def kd_tree(groups: DataFrame, shards: int, apart: tuple[int, ...] = (), fine: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """(lights, heavies), each (key, shard): the leaves of a tree cut at weighted medians along the widest dimension.
 
+    In the dimensions ``apart`` two values lie as far from each other as any: their order means nothing.
     Texts of over a hundredth of a shard, by bytes or rows, are heavy: at most 200 a shard, so they are dealt on the
     driver, and light ones fill up what is left on each side. A text as heavy as a whole shard has one of its own.
     """
@@ -107,7 +112,8 @@ def kd_tree(groups: DataFrame, shards: int, fine: float = 0.005) -> tuple[DataFr
                 placed |= {key: first for _, key, _ in held}
                 continue
             s = stats.get(node)
-            span = lambda d: (s[f"s{d}"]["hi"] - s[f"s{d}"]["lo"] if s else 0, -d)  # noqa: E731, B023
+            wide = lambda d: s[f"s{d}"]["hi"] - s[f"s{d}"]["lo"] if s else 0  # noqa: E731, B023
+            span = lambda d: (PLACES if d in apart and wide(d) else wide(d), -d)  # noqa: E731, B023
             dim, kl = max(range(n_dims), key=span), (k + 1) // 2
             light, at = s["w"] if s else 0, sorted(held, key=lambda h: (h[2][dim], h[1]))  # noqa: B023
             sums = [0]
@@ -137,7 +143,8 @@ def _assigned(keyed: DataFrame, rows: DataFrame, key: str, size: str, dimensions
         if not target_bytes or target_bytes < 1:
             raise ValueError("say shards or target_bytes")
         shards = max(1, math.ceil((groups.agg(F.sum("w")).first()[0] or 0) / target_bytes))
-    lights, heavies = kd_tree(groups, shards)
+    kinds = dict(keyed.dtypes)
+    lights, heavies = kd_tree(groups, shards, tuple(i for i, c in enumerate(dimensions) if not _number(kinds[c])))
     few = F.broadcast(heavies.withColumnRenamed("key", key))  # at most 200 a shard
     many = rows.join(few, key, "left_anti").join(lights.withColumnRenamed("key", key), key)
     return rows.join(few, key).unionByName(many)
