@@ -20,7 +20,8 @@ FAMILIES = [
 
 #: Words and what stands between them, with their places: sums of the lengths before.
 _SQL_WORDS = f"""ts AS (SELECT doc_id, regexp_extract_all(text, '{WORD}+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ts FROM documents),
-tok AS (SELECT doc_id, i, ts[i] AS w, coalesce(ts[i + 1], '') AS gap, i + 2 <= len(ts) AS more, sum(length(ts[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(ts[i]) AS start FROM ts, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i)),
+part AS (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS w FROM ts),
+tok AS (SELECT doc_id, i, w, coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS gap, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL AS more, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS start FROM part),
 word AS (SELECT * FROM tok WHERE regexp_matches(w, '^{WORD}'))"""
 _SQL_CAPITAL = " ".join(f"WHEN regexp_full_match(w[k:], '{p.split('(?!')[0]}') THEN '{t}'" for t, p in FAMILIES)
 #: A match begins at the first capital of a word from which the rest of the word fits.
@@ -28,7 +29,8 @@ _SQL_TYPED_ENTITIES = f"""tail AS (SELECT doc_id, w[k:] AS text, CASE {_SQL_CAPI
 QUALIFY type IS NOT NULL AND k = min(CASE WHEN type IS NOT NULL THEN k END) OVER (PARTITION BY doc_id, i, type)),
 typed AS (SELECT doc_id, text, {[t for t, _ in FAMILIES]}[min(list_position({[t for t, _ in FAMILIES]}, type))] AS type, count(*) AS n FROM tail WHERE length(text) > 2 GROUP BY doc_id, text)"""
 _SQL_SPANS = r"""pc AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps, regexp_extract_all(text, '[.!?]\s+') AS gs FROM documents),
-raw AS (SELECT doc_id, i, ps[i] AS p, sum(CASE WHEN i > 1 THEN length(ps[i - 1]) + length(gs[i - 1]) - 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS off FROM pc, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
+piece AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p, unnest(list_append(list_transform(gs, lambda g: length(g) - 1), 0)) AS gap FROM pc),
+raw AS (SELECT doc_id, i, p, sum(length(p) + gap) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - gap AS off FROM piece),
 spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_id, trim(p, ' ') AS sentence, (off + length(p) - length(ltrim(p, ' ')))::BIGINT AS start, (off + length(p) - length(ltrim(p, ' ')) + length(trim(p, ' ')))::BIGINT AS stop FROM raw WHERE trim(p, ' ') <> '')"""
 
 
