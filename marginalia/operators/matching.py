@@ -73,7 +73,7 @@ def _scanner(kind: T.DataType, mode: str):
             for ts, ns in zip(texts.to_pylist(), lows.to_pylist(), strict=True):
                 a = _automaton(ns or [])
                 for t in ts or []:
-                    found = occurrences(a, t, mode)
+                    found = occurrences(a, t or "", mode)
                     per_text.append(len(found))
                     for j in sorted(found):
                         taken.append(base + j)

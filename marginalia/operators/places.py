@@ -20,11 +20,16 @@ def stored(df: DataFrame, tag: str = "places") -> DataFrame:
     temporary folder, removed at exit.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = store_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared store."""
+    return f"{_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:

@@ -96,11 +96,6 @@ def merged_relations(spark, sf):
     return extraction.merged_relations(once, "sent_id").withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
-def enhanced_relations(spark, sf):
-    return extraction.enhanced_pipeline(text._typed(spark, sf)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")
-
-
 @query("""SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, min(len(embedding)) AS least_length, max(len(embedding)) AS most_length FROM embeddings WHERE NOT coalesce(label = 1, false)""")
 def vector_store(spark, sf):
     rows = read(spark, sf, "embeddings")

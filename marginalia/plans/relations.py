@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marginalia.operators import extraction, matching
+from marginalia.operators import evaluation, extraction, matching
 from marginalia.plans.base import WORD, query, read
-from marginalia.plans.text import _SQL_ENTITIES, _SQL_PAIRS
+from marginalia.plans.text import _SQL_DEPS, _SQL_ENTITIES, _SQL_PAIRS, _SQL_TYPED, _typed
 
 #: Typed patterns over the invented prose of the tables: an entity is in the first family that finds it.
 FAMILIES = [
@@ -19,10 +20,10 @@ FAMILIES = [
 ]
 
 #: Words and what stands between them, with their places: sums of the lengths before.
-_SQL_WORDS = f"""ts AS (SELECT doc_id, regexp_extract_all(text, '{WORD}+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ts FROM documents),
-part AS (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS w FROM ts),
-tok AS (SELECT doc_id, i, w, coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS gap, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL AS more, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS start FROM part),
-word AS (SELECT * FROM tok WHERE regexp_matches(w, '^{WORD}'))"""
+_SQL_WORDS = f"""wts AS (SELECT doc_id, regexp_extract_all(text, '{WORD}+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ts FROM documents),
+wpart AS (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS w FROM wts),
+wtok AS (SELECT doc_id, i, w, coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS gap, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL AS more, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS start FROM wpart),
+word AS (SELECT * FROM wtok WHERE regexp_matches(w, '^{WORD}'))"""
 _SQL_CAPITAL = " ".join(f"WHEN regexp_full_match(w[k:], '{p.split('(?!')[0]}') THEN '{t}'" for t, p in FAMILIES)
 #: A match begins at the first capital of a word from which the rest of the word fits.
 _SQL_TYPED_ENTITIES = f"""tail AS (SELECT doc_id, w[k:] AS text, CASE {_SQL_CAPITAL} END AS type FROM word, LATERAL (SELECT unnest(range(1, length(w) + 1)) AS k) WHERE regexp_matches(w, '\\p{{Lu}}')
@@ -109,9 +110,12 @@ def best_antecedents(spark, sf):
     return a.select("doc_id", F.col("start").cast("long").alias("start"), "ref", "kind", "antecedent", "score", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"""WITH {_SQL_ANTECEDENTS}, cuts AS (SELECT b.doc_id, b.start + length(ref) AS stop, coalesce(lag(b.start + length(ref)) OVER (PARTITION BY b.doc_id ORDER BY b.start + length(ref), ' (=' || antecedent || ')'), 0) AS before, ' (=' || antecedent || ')' AS put FROM best b),
-pieces AS (SELECT c.doc_id, string_agg(text[before + 1:stop] || put, '' ORDER BY stop, put) AS head, max(stop) AS last FROM cuts c JOIN documents USING (doc_id) GROUP BY c.doc_id)
-SELECT doc_id, coalesce(head || text[last + 1:], text) AS text FROM documents LEFT JOIN pieces USING (doc_id)""")
+_SQL_RESOLVED = """cuts AS (SELECT b.doc_id, b.start + length(ref) AS stop, coalesce(lag(b.start + length(ref)) OVER (PARTITION BY b.doc_id ORDER BY b.start + length(ref), ' (=' || antecedent || ')'), 0) AS before, ' (=' || antecedent || ')' AS put FROM best b),
+pieces AS (SELECT c.doc_id, string_agg(text[before + 1:stop] || put, '' ORDER BY stop, put) AS head, max(stop) AS last FROM cuts c JOIN documents USING (doc_id) GROUP BY c.doc_id),
+docs2 AS (SELECT doc_id, coalesce(head || text[last + 1:], text) AS text FROM documents LEFT JOIN pieces USING (doc_id))"""
+
+
+@query(f"WITH {_SQL_ANTECEDENTS}, {_SQL_RESOLVED} SELECT doc_id, text FROM docs2")
 def resolved_texts(spark, sf):
     docs, best = _antecedents(spark, sf)
     return extraction.rewrite(docs, best)
@@ -148,3 +152,115 @@ def longest_mentions(spark, sf):
     docs = read(spark, sf, "documents")
     m = extraction.longest_mentions(extraction.sentence_rows(docs), extraction.capitalised_entities(docs, None))
     return m.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+_SQL_TYPED_PAIRS = f"""{_SQL_WORDS}, {_SQL_TYPED_ENTITIES}, {_SQL_SPANS}, ents2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, text) AS ord FROM typed),
+th AS (SELECT s.doc_id, sent_id, sentence, ord, e.text, type FROM spans s JOIN ents2 e ON s.doc_id = e.doc_id AND contains(lower(sentence), lower(e.text))),
+tpair AS (SELECT a.doc_id, a.sent_id, a.sentence, a.text AS source, b.text AS target, a.type AS st, b.type AS tt, 0.6 + CASE WHEN abs(instr(lower(a.sentence), lower(a.text)) - instr(lower(a.sentence), lower(b.text))) < 50 THEN 0.1
+WHEN abs(instr(lower(a.sentence), lower(a.text)) - instr(lower(a.sentence), lower(b.text))) < 100 THEN 0.05 ELSE 0 END AS base FROM th a JOIN th b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.ord < b.ord AND lower(a.text) <> lower(b.text))"""
+
+
+def _typed_nodes(spark, sf):
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "text")
+    return _typed_entities(spark, sf).withColumn("ord", F.row_number().over(w))
+
+
+def _typed_pairs(spark, sf):
+    """Pairs of typed entities of a sentence, with their types from the entities themselves."""
+    nodes = _typed_nodes(spark, sf)
+    found = extraction.sentence_hits(read(spark, sf, "documents"), nodes.select("doc_id", "ord", "text"))
+    kind = lambda side: nodes.select("doc_id", F.col("ord").alias(f"{side}_ord"), F.col("type").alias(f"{side}_type"))
+    p = extraction.pairs_in_sentence(found).join(kind("source"), ["doc_id", "source_ord"]).join(kind("target"), ["doc_id", "target_ord"])
+    return p.withColumn("base", extraction.base_confidence(F.lit(0.6), F.lit(0.7), F.col("sentence"), F.col("source"), F.col("target")))
+
+
+_SQL_TYPED_PATTERNS = " UNION ALL ".join(
+    f"SELECT doc_id, sent_id, {x} AS source, {y} AS target, '{rel}' AS type, least(0.95, base + {boost}) AS confidence FROM tpair WHERE regexp_matches(sentence, '(?i){p}') AND st IN {a + a[:1]} AND tt IN {b + b[:1]}"
+    for p, rel, src, dst, boost, both in extraction.TYPED_PATTERNS for a, b, x, y in ((src, dst, "source", "target"), *(((dst, src, "target", "source"),) if both else ()))
+)
+
+
+@query(f"WITH {_SQL_TYPED_PAIRS}, f AS ({_SQL_TYPED_PATTERNS}) SELECT doc_id, sent_id, source, target, type, round(confidence, 6)::DOUBLE AS confidence FROM f")
+def typed_relations(spark, sf):
+    r = extraction.typed_relations(_typed_pairs(spark, sf))
+    return r.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), "source", "target", "type", F.round("confidence", 6).alias("confidence"))
+
+
+_TERMS, _CHECKS = ["the", "ation", "ing", "xyz"], [("ion", "ORGANIZATION"), ("er", "PERSON"), ("ed", "METHOD"), ("th", "CONCEPT")]
+_LADDER = " ".join("WHEN ({}){} THEN '{}'".format(" OR ".join(f"contains(lower(sentence), '{w}')" for w in ws), " AND st IN ('PERSON', 'ORGANIZATION')" if r == "ENABLES" else "", r) for ws, r in extraction.CONTEXT_LADDER)
+_SQL_CONTEXT = f"""ctx AS (SELECT *, CASE {_LADDER} WHEN st = 'METHOD' AND tt = 'TECHNOLOGY' THEN 'PART_OF' WHEN st = 'TECHNOLOGY' AND tt = 'CONCEPT' THEN 'ENABLES' ELSE 'RELATED_TO' END AS type FROM tpair)"""
+
+
+@query(f"""WITH {_SQL_TYPED_PAIRS}, {_SQL_CONTEXT}, c AS (SELECT doc_id, round(round(sum(CASE WHEN st = 'PERSON' AND tt = 'TECHNOLOGY' THEN CASE WHEN type IN ('ENABLES', 'RELATED_TO') THEN 1 ELSE 0 END
+WHEN st = 'METHOD' AND tt = 'TECHNOLOGY' THEN CASE WHEN type IN ('PART_OF', 'USES', 'RELATED_TO') THEN 1 ELSE 0 END WHEN type = 'RELATED_TO' THEN 0.5 ELSE 0.7 END), 6)::DOUBLE / count(*), 6) AS ratio FROM ctx GROUP BY doc_id),
+n AS (SELECT doc_id, round(({" + ".join(f"max(contains(lower(text), '{t}')::INT)" for t in _TERMS)}) / {len(_TERMS)}, 6) AS covered,
+round(({" + ".join(f"coalesce(arg_min(type = '{k}', ord) FILTER (contains(lower(text), '{t}')), false)::INT" for t, k in _CHECKS)}) / {len(_CHECKS)}, 6) AS accuracy FROM ents2 GROUP BY doc_id)
+SELECT doc_id, covered::DOUBLE AS covered, accuracy::DOUBLE AS accuracy, coalesce(ratio, 0)::DOUBLE AS ratio, round(0.4 * covered + 0.3 * accuracy + 0.3 * coalesce(ratio, 0), 3)::DOUBLE AS overall FROM n LEFT JOIN c USING (doc_id)""")
+def graph_quality(spark, sf):
+    pairs = _typed_pairs(spark, sf)
+    told = extraction.context_relations(pairs.withColumn("id2", F.struct("doc_id", "source_type", "target_type")), "id2").select("id2.*", "type")
+    return evaluation.graph_quality(_typed_nodes(spark, sf).withColumnRenamed("text", "label"), told, _TERMS, _CHECKS)
+
+
+@query(f"""WITH {_SQL_TYPED_PAIRS}, {_SQL_CONTEXT}, f AS (SELECT DISTINCT doc_id, lower(source) AS s, lower(target) AS t, type FROM ctx),
+x AS (SELECT doc_id, source, target, type, sent_id % 4 AS m FROM ctx WHERE sent_id % 3 = 0), e AS (SELECT DISTINCT doc_id, CASE WHEN m = 1 THEN target ELSE source END AS source, CASE WHEN m = 1 THEN source WHEN m = 3 THEN 'nobody' ELSE target END AS target, CASE WHEN m = 2 THEN 'CITES' ELSE type END AS type FROM x),
+met AS (SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = e.doc_id AND f.s = lower(e.source) AND f.t = lower(e.target) AND f.type = e.type) THEN 'exact' WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = e.doc_id AND f.s = lower(e.source) AND f.t = lower(e.target)) THEN 'partial'
+WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = e.doc_id AND f.t = lower(e.source) AND f.s = lower(e.target)) THEN 'reversed' ELSE 'missed' END AS met FROM e)
+SELECT doc_id, source, target, type, met FROM met""")
+def lenient_evaluation(spark, sf):
+    """Relations of each third sentence are expected: as they are, turned round, of another type, or of nobody."""
+    p = _typed_pairs(spark, sf)
+    told = extraction.context_relations(p)
+    m = F.col("sent_id") % 4
+    e = told.where("sent_id % 3 = 0").select("doc_id", F.when(m == 1, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(m == 1, F.col("source")).when(m == 3, "nobody").otherwise(F.col("target")).alias("target"), F.when(m == 2, "CITES").otherwise(F.col("type")).alias("type")).distinct()
+    return evaluation.lenient(told, e)[0]
+
+
+def _sql_found(patterns, table: str, keys: str, text: str) -> str:
+    return " UNION ALL ".join(
+        "SELECT {2}, '{1}' AS raw_type, unnest(regexp_extract_all(lower({4}), '{0}', 1)) AS l, unnest(regexp_extract_all(lower({4}), '{0}', 2)) AS r FROM {3}".format(p.replace(r"\w", WORD), t, keys, table, text) for p, t in patterns
+    )
+
+
+_SQL_PIPELINE = f"""{_SQL_ANTECEDENTS.replace(_SQL_TYPED_ENTITIES, _SQL_ENTITIES + ", typed AS (SELECT doc_id, text, 'UNKNOWN' AS type, n FROM ents)")}, {_SQL_RESOLVED},
+{_SQL_DEPS.replace("FROM documents", "FROM docs2")},
+h AS (SELECT x.doc_id, x.sent_id, s AS sentence, ord, e.text FROM sents x JOIN ents e ON x.doc_id = e.doc_id AND contains(lower(s), lower(e.text))),
+two AS (SELECT doc_id, sent_id FROM h GROUP BY ALL HAVING count(DISTINCT lower(text)) >= 2),
+rel(raw_type, kind) AS (VALUES {", ".join(map(str, extraction.RELATION_TYPES.items()))}), vb(v, vtype) AS (VALUES {", ".join(map(str, extraction.VERBS.items()))}), pr(p, ptype) AS (VALUES {", ".join(map(str, extraction.PREPOSITIONS.items()))}),
+tw AS (SELECT d.*, x.t AS hw, y.t AS dw FROM deps d JOIN two USING (doc_id, sent_id) JOIN tagged x ON x.doc_id = d.doc_id AND x.sent_id = d.sent_id AND x.i = head_idx JOIN tagged y ON y.doc_id = d.doc_id AND y.sent_id = d.sent_id AND y.i = dep_idx),
+svo AS (SELECT a.doc_id, a.sent_id, a.dw AS l, b.dw AS r, coalesce(vtype, 'RELATED_TO') AS raw_type, 0.8::DOUBLE AS c FROM tw a JOIN tw b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.head_idx = b.head_idx LEFT JOIN vb ON v = lower(a.hw) WHERE a.relation = 'nsubj' AND b.relation = 'dobj'
+UNION ALL SELECT a.doc_id, a.sent_id, a.dw, o.dw, coalesce(ptype, 'RELATED_TO'), 0.75 FROM tw a JOIN tw b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.head_idx = b.head_idx AND b.relation = 'prep' JOIN tw o ON o.doc_id = b.doc_id AND o.sent_id = b.sent_id AND o.relation = 'pobj' AND o.head_idx = b.dep_idx
+LEFT JOIN pr ON p = lower(b.dw) WHERE a.relation = 'nsubj'),
+ts2 AS (SELECT x.doc_id, x.sent_id, s FROM sents x JOIN two USING (doc_id, sent_id)),
+dw AS (SELECT doc_id, sent_id, l, r, raw_type, c FROM svo UNION ALL (SELECT DISTINCT doc_id, sent_id, l, r, raw_type, 0.7::DOUBLE FROM ({_sql_found(extraction.SENTENCE_PATTERNS, "ts2", "doc_id, sent_id", "s")}))),
+dws AS (SELECT doc_id, sent_id, lower(l) AS w FROM dw UNION SELECT doc_id, sent_id, lower(r) FROM dw), df AS ({_SQL_BEST.format(keys="doc_id, sent_id", words="dws", names="h")}),
+drel AS (SELECT dw.doc_id, a.text AS source, b.text AS target, coalesce(kind, 'RELATED_TO') AS type, c AS confidence, 'dependency' AS method FROM dw JOIN df a ON a.doc_id = dw.doc_id AND a.sent_id = dw.sent_id AND a.w = lower(l) JOIN df b ON b.doc_id = dw.doc_id AND b.sent_id = dw.sent_id AND b.w = lower(r)
+LEFT JOIN rel USING (raw_type) WHERE a.text <> b.text OR c > 0.7),
+pm AS (SELECT DISTINCT * FROM ({_sql_found(extraction.PATTERNS, "docs2", "doc_id", "text")})), pws AS (SELECT doc_id, l AS w FROM pm UNION SELECT doc_id, r FROM pm), pf AS ({_SQL_BEST.format(keys="doc_id", words="pws", names="ents")}),
+prel AS (SELECT pm.doc_id, a.text AS source, b.text AS target, coalesce(kind, 'RELATED_TO') AS type, 0.7::DOUBLE AS confidence, 'pattern' AS method FROM pm JOIN pf a ON a.doc_id = pm.doc_id AND a.w = l JOIN pf b ON b.doc_id = pm.doc_id AND b.w = r LEFT JOIN rel USING (raw_type) WHERE a.text <> b.text),
+found AS (SELECT * FROM drel UNION ALL SELECT * FROM prel), many AS (SELECT doc_id FROM found GROUP BY doc_id HAVING count(*) >= 50),
+cov AS (SELECT DISTINCT doc_id, least(lower(source), lower(target)) AS x, greatest(lower(source), lower(target)) AS y FROM found),
+pp AS (SELECT a.doc_id, a.text AS source, b.text AS target, least(lower(a.text), lower(b.text)) AS x, greatest(lower(a.text), lower(b.text)) AS y, a.sent_id, a.ord AS so, b.ord AS t_o FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.ord < b.ord AND lower(a.text) <> lower(b.text) WHERE a.doc_id NOT IN (SELECT doc_id FROM many)),
+co AS (SELECT doc_id, source, target, 'RELATED_TO' AS type, 0.5::DOUBLE AS confidence, 'cooccurrence' AS method FROM pp ANTI JOIN cov USING (doc_id, x, y) QUALIFY row_number() OVER (PARTITION BY doc_id, x, y ORDER BY sent_id, so, t_o) = 1),
+best2 AS (SELECT * FROM (SELECT * FROM found UNION ALL SELECT * FROM co) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(source), lower(target), type ORDER BY confidence DESC, method, source, target) = 1)"""
+
+
+@query(f"WITH {_SQL_PIPELINE} SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, method, source, target, type) AS rank FROM best2 QUALIFY rank <= 100")
+def relation_pipeline(spark, sf):
+    docs = read(spark, sf, "documents")
+    return extraction.pipeline(docs, extraction.capitalised_entities(docs, None)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")
+
+
+_SQL_SYNTACTIC = " UNION ALL ".join(
+    f"SELECT doc_id, {x} AS source, {y} AS target, '{rel}' AS type, least(0.95::DOUBLE, base + {boost}::DOUBLE) AS confidence, 'syntactic' AS method FROM tb WHERE regexp_matches(sentence, '(?i){p}') AND st IN {a + a[:1]} AND tt IN {b + b[:1]}"
+    for p, rel, src, dst, boost, both in extraction.TYPED_PATTERNS for a, b, x, y in ((src, dst, "source", "target"), *(((dst, src, "target", "source"),) if both else ()))
+)
+
+
+@query(f"""WITH {_SQL_TYPED}, tb AS (SELECT *, least(0.95::DOUBLE, 0.6::DOUBLE + CASE WHEN gap < 50 THEN 0.1::DOUBLE WHEN gap < 100 THEN 0.05::DOUBLE ELSE 0::DOUBLE END) AS base FROM tp),
+f AS ({_SQL_SYNTACTIC} UNION ALL SELECT doc_id, source, target, CASE WHEN free THEN 'RELATED_TO' ELSE first END, base * 0.7::DOUBLE, 'cooccurrence' FROM tb JOIN v USING (st, tt)),
+c AS (SELECT doc_id, source, target, type, method, greatest(0::DOUBLE, least(0.99::DOUBLE, confidence + 0.1::DOUBLE * (len(list_distinct(list(method) OVER (PARTITION BY doc_id, lower(source), lower(target)))) - 1) + 0.05::DOUBLE * (count(*) OVER (PARTITION BY doc_id, lower(source), lower(target), type) - 1))) AS confidence FROM f),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, lower(source), lower(target), type ORDER BY confidence DESC, method, source, target) = 1)
+SELECT doc_id, source, target, type, confidence, method, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, source, target, type, method) AS rank FROM b WHERE confidence >= 0.4::DOUBLE""")
+def enhanced_relations(spark, sf):
+    return extraction.enhanced_pipeline(_typed(spark, sf)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")

@@ -326,10 +326,19 @@ def csl_export(spark, sf):
     return exports.csl_json(_items(spark, sf))
 
 
-@query()
+@query("""WITH u AS (SELECT c_custkey AS user_id, c_mktsegment FROM customer),
+o AS (SELECT o_custkey AS user_id, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey, o_orderstatus) || ']' AS j FROM orders GROUP BY o_custkey),
+c AS (SELECT user_id, '[' || string_agg('{"purpose":"' || event_type || '","granted":' || (n % 2 = 1) || '}', ',' ORDER BY event_type) || ']' AS j FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id),
+m AS (SELECT user_id, '[{"events":' || count(*) || ',"last_event":' || max(event_id) || '}]' AS j FROM events GROUP BY user_id)
+SELECT user_id, '{' || array_to_string(list_filter(['"profile":[{"segment":"' || c_mktsegment || '"}]', '"orders":' || o.j, '"consents":' || c.j, '"metrics":' || m.j], lambda x: x IS NOT NULL), ',') || '}' AS export FROM u LEFT JOIN o USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN m USING (user_id)""")
 def user_data_export(spark, sf):
-    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderstatus")
-    return exports.user_export(o.select("user_id"), ("orders", o))
+    """Each customer's profile, orders, consents (for each type of event) and metrics."""
+    users = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    o = read(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("user_id"), "o_orderkey", "o_orderstatus")
+    e = read(spark, sf, "events").select(F.col("user_id").cast("long").alias("user_id"), "event_type", "event_id")
+    consents = e.groupBy("user_id", F.col("event_type").alias("purpose")).agg((F.count("*") % 2 == 1).alias("granted"))
+    metrics = e.groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))
+    return exports.user_export(users, ("profile", users), ("orders", o), ("consents", consents), ("metrics", metrics))
 
 
 # Relational shapes

@@ -171,12 +171,6 @@ def pattern_matches(spark, sf):
     return extraction.pattern_matches(read(spark, sf, "documents")).groupBy("doc_id", "raw_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def relation_pipeline(spark, sf):
-    docs = read(spark, sf, "documents")
-    return extraction.pipeline(docs, extraction.capitalised_entities(docs, None)).select("doc_id", "source", "target", "type", "confidence", "method", "rank")
-
-
 _COUNT_IN = "len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w IN ({terms})))"
 _GENDERED = ", ".join(f"'{t}'" for t in bias.GENDERED if "-" not in t)
 _COMPLEX = ", ".join(f"'{t}'" for t in bias.COMPLEX if t.isalpha())
@@ -289,14 +283,21 @@ def spaced_markdown_export(spark, sf):
     return exports.spaced_markdown(cards(spark, sf))
 
 
-@query()
+@query(f"""{_SQL_DECK} SELECT card_id, '{{"question":' || to_json(question) || ',"answer":' || to_json(answer) || CASE WHEN kind = 'recall' THEN ',"hint":"one term"' ELSE '' END || ',"source":' || to_json(source) || ',"tags":[' || to_json(lang) || ',' || to_json(kind) || ']}}' AS entry FROM d""")
 def card_json_export(spark, sf):
     return exports.card_json(cards(spark, sf))
 
 
-@query()
+_SQL_CLOZE = " UNION ALL ".join(
+    "SELECT doc_id, {0} AS rule, generate_subscripts(m, 1) AS i, unnest(m) AS term FROM (SELECT doc_id, regexp_extract_all(text, '(?i){1}', 1) AS m FROM documents)".format(k, p.replace(r"\w", WORD)) for k, p in enumerate(T.CLOZE_PATTERNS)
+)
+
+
+@query(f"""WITH m AS ({_SQL_CLOZE}), u AS (SELECT doc_id, term, min(rule * 1000000 + i) AS at_ FROM m GROUP BY ALL), k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS place FROM u QUALIFY place < 3),
+s AS (SELECT k.*, list_filter(string_split_regex(text, '[.!?]+'), lambda x: contains(lower(x), lower(term)))[1] AS sentence FROM k JOIN documents USING (doc_id))
+SELECT doc_id, place, trim(sentence[:instr(lower(sentence), lower(term)) - 1] || '{{{{c1::' || term || '}}}}' || sentence[instr(lower(sentence), lower(term)) + length(term):]) AS cloze, term AS answer FROM s WHERE sentence IS NOT NULL""")
 def cloze_cards(spark, sf):
-    return exports.cloze_cards(read(spark, sf, "documents"))
+    return exports.cloze_cards(read(spark, sf, "documents")).withColumn("place", F.col("place").cast("long"))
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,16 @@ def _rows(frames, *columns: str) -> list[tuple]:
     return sorted(tuple(r) for f in frames for r in f[list(columns)].itertuples(index=False, name=None))
 
 
+def _timed(df: DataFrame, late: str, *columns: Column) -> DataFrame:
+    """The columns with ``ts`` under a watermark and ``at``, the same in seconds, which knows no time zone."""
+    ts = F.col("ts").cast("timestamp")
+    return df.select(*columns, ts.alias("ts"), (F.unix_micros(ts) / 1e6).alias("at")).withWatermark("ts", late)
+
+
+def _time() -> Column:
+    return F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts")
+
+
 class _Limiter(StatefulProcessor):
     def __init__(self, key: str, limit: int, seconds: int, block: int) -> None:
         self.key, self.limit, self.seconds, self.block = key, limit, seconds, block
@@ -32,28 +42,27 @@ class _Limiter(StatefulProcessor):
         self.recent = handle.getListState("recent", "ts double")
         self.until = handle.getValueState("until", "until double")
 
-    def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N803
         import pandas as pd
 
         recent = [t for (t,) in self.recent.get()] if self.recent.exists() else []
         until, out = self.until.get()[0] if self.until.exists() else 0.0, []
-        for (ts,) in _rows(rows, "ts"):
-            now = ts.timestamp()
+        for (now,) in _rows(rows, "at"):
             recent = [t for t in recent if t > now - self.seconds]
             ok = now >= until and len(recent) < self.limit
             if ok:
                 recent.append(now)
             elif now >= until:
                 until = now + self.block
-            out.append((key[0], ts, ok))
+            out.append((key[0], now, ok))
         self.recent.put([(t,) for t in recent]) if recent else self.recent.clear()
         self.until.update((until,)) if until else self.until.clear()
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(int(1000 * max(until, max(recent, default=0.0) + self.seconds)) + 1)
-        yield pd.DataFrame(out, columns=[self.key, "ts", "allowed"])
+        yield pd.DataFrame(out, columns=[self.key, "at", "allowed"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N803
         self.recent.clear()
         self.until.clear()
         return iter(())
@@ -70,8 +79,9 @@ def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60, block_
     dropped by the watermark; within a batch they are taken in the order of their times.
     """
     use_state_store(requests.sparkSession)
-    r = requests.select(F.col(key).cast("string").alias(key), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return r.groupBy(key).transformWithStateInPandas(_Limiter(key, limit, seconds, block_seconds), f"{key} string, ts timestamp, allowed boolean", "Append", "EventTime")
+    r = _timed(requests, late, F.col(key).cast("string").alias(key))
+    out = r.groupBy(key).transformWithStateInPandas(_Limiter(key, limit, seconds, block_seconds), f"{key} string, at double, allowed boolean", "Append", "EventTime")
+    return out.select(key, _time(), "allowed")
 
 
 class _Upload(StatefulProcessor):
@@ -82,18 +92,17 @@ class _Upload(StatefulProcessor):
         self.handle = handle
         self.status = handle.getValueState("status", "status string, since double")
 
-    def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N803
         import pandas as pd
 
         status, since = self.status.get() if self.status.exists() else (None, 0.0)
         out = []
-        for ts, to in _rows(rows, "ts", "status"):
-            now = ts.timestamp()
+        for now, to in _rows(rows, "at", "status"):
             if status == "processing" and now >= since + self.timeout:  # its time was over before this row
-                out.append((key[0], pd.Timestamp(since + self.timeout, unit="s"), "failed", True, "timeout"))
+                out.append((key[0], since + self.timeout, "failed", True, "timeout"))
                 status = "failed"
             ok = to == "pending" if status is None else to in STEPS.get(status, ())
-            out.append((key[0], ts, to, ok, None if ok else f"{status or 'nothing'} to {to}"))
+            out.append((key[0], now, to, ok, None if ok else f"{status or 'nothing'} to {to}"))
             if ok:
                 status, since = to, now
         if status is not None:
@@ -102,15 +111,15 @@ class _Upload(StatefulProcessor):
             self.handle.deleteTimer(old)
         if status is not None:
             self.handle.registerTimer(int(1000 * (since + self.timeout)))
-        yield pd.DataFrame(out, columns=["doc_id", "ts", "status", "accepted", "reason"])
+        yield pd.DataFrame(out, columns=["doc_id", "at", "status", "accepted", "reason"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N803
         import pandas as pd
 
         status, since = self.status.get()
         self.status.clear()
         if status == "processing":
-            yield pd.DataFrame([(key[0], pd.Timestamp(since + self.timeout, unit="s"), "failed", True, "timeout")], columns=["doc_id", "ts", "status", "accepted", "reason"])
+            yield pd.DataFrame([(key[0], since + self.timeout, "failed", True, "timeout")], columns=["doc_id", "at", "status", "accepted", "reason"])
 
     def close(self) -> None:
         pass
@@ -124,8 +133,9 @@ def upload_states(steps: DataFrame, timeout: int = 600, late: str = "1 minute")
     ``timeout`` seconds fails by a timer. State is dropped ``timeout`` after the last step taken.
     """
     use_state_store(steps.sparkSession)
-    s = steps.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", late)
-    return s.groupBy("doc_id").transformWithStateInPandas(_Upload(timeout), "doc_id string, ts timestamp, status string, accepted boolean, reason string", "Append", "EventTime")
+    s = _timed(steps, late, F.col("doc_id").cast("string").alias("doc_id"), F.col("status"))
+    out = s.groupBy("doc_id").transformWithStateInPandas(_Upload(timeout), "doc_id string, at double, status string, accepted boolean, reason string", "Append", "EventTime")
+    return out.select("doc_id", _time(), "status", "accepted", "reason")
 
 
 def known_type(content_type):
