@@ -184,3 +184,16 @@ def merge_annotations(ops: DataFrame, key: str = "annotation_id", order: str = "
 def reactions(events: DataFrame, key: str = "annotation_id") -> DataFrame:
     """Users of each reaction on an annotation."""
     return events.groupBy(key, "emoji").agg(F.array_sort(F.collect_set("user")).alias("users"), F.count_distinct("user").alias("n"))
+
+
+def updated_profiles(profiles: DataFrame, changes: DataFrame, user: str = "user_id", seq: str = "seq") -> DataFrame:
+    """Profiles with, for each field, the newest change that isn't null; users without a profile get one from their changes."""
+    fields = [c for c in profiles.columns if c != user]
+    newest = changes.groupBy(user).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_{c}") for c in fields if c in changes.columns))
+    j = profiles.join(newest, user, "full")
+    return j.select(user, *(F.coalesce(f"_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in fields))
+
+
+def metric_summary(metrics: DataFrame, user: str = "user_id", name: str = "metric", value: str = "value", ts: str = "ts", tie: str = "metric_id") -> DataFrame:
+    """(user, metric, n, mean, newest): recorded metrics by name; nulls are no values."""
+    return metrics.where(F.col(value).isNotNull()).groupBy(user, name).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max_by(value, F.struct(ts, tie)).alias("newest"))

@@ -70,7 +70,8 @@ def graph_quality(nodes: DataFrame, relations: DataFrame, terms: list[str], chec
     """(id, covered, accuracy, ratio, overall): 0.4 coverage, 0.3 accuracy, 0.3 coherence; what a document lacks is 0."""
     parts = coverage(nodes, terms, id_col).join(type_accuracy(nodes, checks, id_col), id_col).join(coherence(relations, id_col).select(id_col, "ratio"), id_col, "left")
     ratio = F.coalesce("ratio", F.lit(0.0))
-    return parts.select(id_col, "covered", "accuracy", ratio.alias("ratio"), F.round(0.4 * F.col("covered") + 0.3 * F.col("accuracy") + 0.3 * ratio, 3).alias("overall"))
+    tenths = (4 * F.col("covered") + 3 * F.col("accuracy") + 3 * ratio).cast("decimal(18,6)")  # exact, so that halves round up
+    return parts.select(id_col, "covered", "accuracy", ratio.alias("ratio"), F.round(tenths * F.lit(0.1).cast("decimal(2,1)"), 3).cast("double").alias("overall"))
 
 
 def type_coherence(relations: DataFrame, valid: DataFrame, most: int = 50, id_col: str = "doc_id") -> DataFrame:

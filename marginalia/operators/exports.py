@@ -181,3 +181,14 @@ def user_export(users: DataFrame, *parts: tuple[str, DataFrame], key: str = "use
         rest = [c for c in df.columns if c != key]
         out = out.join(df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name)), key, "left")
     return out.select(key, F.to_json(F.struct(*(n for n, _ in parts))).alias("export"))
+
+
+#: Citation formats by name.
+CITATIONS = {"ris": ris, "bibtex": bibtex, "csl": csl_json}
+
+
+def citations(items: DataFrame, fmt: str) -> DataFrame:
+    """Entries of the items in the format of that name, whatever its case; an unknown one is refused."""
+    if fmt.lower() not in CITATIONS:
+        raise ValueError(f"{fmt} is none of {', '.join(CITATIONS)}")
+    return CITATIONS[fmt.lower()](items)

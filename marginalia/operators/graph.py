@@ -233,3 +233,11 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 def type_histogram(df: DataFrame, column: str = "type") -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def delete_documents(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Nodes of the documents removed, and all edges of theirs or at such nodes. nodes, edges: ``key``; gone: ``key``."""
+    g = gone.select(key).distinct()
+    dead = nodes.join(g, key, "left_semi").select("node_id")
+    alive = edges.join(g, key, "left_anti") if key in edges.columns else edges
+    return delete_nodes(nodes, alive, dead)

@@ -185,3 +185,18 @@ def reflection_prompts(latest: DataFrame, key: list[str], as_of: Column) -> Data
 
 def snapshot_hash(summary: Column, *lists: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("\u001f", summary, *(F.array_join(x, "\u001e") for x in lists))), 1, 8)
+
+
+def dwell_by_section(events: DataFrame, user: str = "user_id", section: str = "section") -> DataFrame:
+    """(user, section, views, dwell_ms, expands, last_seen). events: user, section, kind (view, dwell, expand), dwell_ms, ts.
+
+    Times below zero or null count as none; a section that was only dwelt on has no views.
+    """
+    at = lambda k: F.col("kind") == k
+    ms = F.when(at("dwell"), F.greatest(F.coalesce("dwell_ms", F.lit(0)), F.lit(0))).otherwise(0)
+    return events.groupBy(user, section).agg(F.count_if(at("view")).alias("views"), F.sum(ms).alias("dwell_ms"), F.count_if(at("expand")).alias("expands"), F.max("ts").alias("last_seen"))
+
+
+def latest_snapshots(snapshots: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The newest snapshot of each key, and how many there are."""
+    return snapshots.groupBy(*key).agg(F.max_by(F.struct(*(c for c in snapshots.columns if c not in key)), order).alias("s"), F.count("*").alias("snapshots")).select(*key, "s.*", "snapshots")

@@ -72,8 +72,8 @@ def parse_edges(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, sent_id, relation, head, dependent, head_idx, dep_idx), places from 0.
 
     The head is the first verb, or where there is none the first auxiliary. The noun next on its left is its subject: of a
-    form in -ed (or a listed one) after an auxiliary, nsubjpass, else nsubj. The first noun on its right is dobj of a verb,
-    attr of an auxiliary, or, right after a preposition, pobj.
+    form in -ed (or a listed one) after an auxiliary, nsubjpass, else nsubj. The last noun of the first phrase on its right
+    is dobj of a verb, attr of an auxiliary, or, where the phrase follows a preposition, pobj.
     """
     t, n = F.col("tags"), F.size("tags")
     at = lambda tag: F.array_position(t, tag).cast("int")
@@ -81,15 +81,15 @@ def parse_edges(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     head = F.when(verb > 0, verb).when(aux > 0, aux)
     s = _letters(t)
     left = F.length(F.regexp_extract(F.substring("_s", F.lit(1), F.col("_h") - 1), "^(.*)N", 0))
-    right = F.col("_h") + F.length(F.regexp_extract(F.substring("_s", F.col("_h") + 1, n), "^[^N]*N", 0))
-    p = tagged.withColumns({"_s": s, "_h": head}).where(F.col("_h").isNotNull()).withColumns({"_l": left, "_r": right})
+    rest = F.substring("_s", F.col("_h") + 1, n)
+    right = F.col("_h") + F.length(F.regexp_extract(rest, "^[^N]*N+", 0))
+    p = tagged.withColumns({"_s": s, "_h": head}).where(F.col("_h").isNotNull()).withColumns({"_l": left, "_r": right, "_u": F.regexp_extract(rest, "^[^N]*", 0).rlike("PD?$")})
     word = lambda i: F.element_at("tokens", i)
     low = F.lower(word(F.col("_h")))
     passive = (F.substring("_s", F.col("_h"), F.lit(1)) == "V") & (F.col("_h") > 1) & (F.substring("_s", F.col("_h") - 1, F.lit(1)) == "A") & (low.endswith("ed") | low.isin("built"))
-    under = F.substring("_s", F.col("_r") - 1, F.lit(1)) == "P"
     edge = lambda i, rel: F.struct(rel.alias("relation"), word(F.col("_h")).alias("head"), word(i).alias("dependent"), (F.col("_h") - 1).alias("head_idx"), (i - 1).alias("dep_idx"))
     subject = F.when(F.col("_l") > 0, edge(F.col("_l"), F.when(passive, "nsubjpass").otherwise("nsubj")))
-    other = F.when(under, "pobj").when(F.substring("_s", F.col("_h"), F.lit(1)) == "A", "attr").otherwise("dobj")
+    other = F.when(F.col("_u"), "pobj").when(F.substring("_s", F.col("_h"), F.lit(1)) == "A", "attr").otherwise("dobj")
     found = F.when(F.col("_r") > F.col("_h"), edge(F.col("_r"), other))
     return p.select(id_col, "sent_id", F.explode(F.array_compact(F.array(subject, found))).alias("e")).select(id_col, "sent_id", "e.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import governance, knowledge, learning, relations, tables, text  # noqa: F401  (they register their queries)
+from marginalia.plans import governance, knowledge, learning, records, relations, tables, text  # noqa: F401  (they register their queries)
 from marginalia.plans.base import QUERIES, SQL
 
 

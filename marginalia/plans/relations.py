@@ -170,7 +170,7 @@ def _typed_pairs(spark, sf):
     nodes = _typed_nodes(spark, sf)
     found = extraction.sentence_hits(read(spark, sf, "documents"), nodes.select("doc_id", "ord", "text"))
     kind = lambda side: nodes.select("doc_id", F.col("ord").alias(f"{side}_ord"), F.col("type").alias(f"{side}_type"))
-    p = extraction.pairs_in_sentence(found).join(kind("source"), ["doc_id", "source_ord"]).join(kind("target"), ["doc_id", "target_ord"])
+    p = extraction.pairs_in_sentence(extraction.with_verbs(found)).join(kind("source"), ["doc_id", "source_ord"]).join(kind("target"), ["doc_id", "target_ord"])
     return p.withColumn("base", extraction.base_confidence(F.lit(0.6), F.lit(0.7), F.col("sentence"), F.col("source"), F.col("target")))
 
 
@@ -195,7 +195,7 @@ _SQL_CONTEXT = f"""ctx AS (SELECT *, CASE {_LADDER} WHEN st = 'METHOD' AND tt =
 WHEN st = 'METHOD' AND tt = 'TECHNOLOGY' THEN CASE WHEN type IN ('PART_OF', 'USES', 'RELATED_TO') THEN 1 ELSE 0 END WHEN type = 'RELATED_TO' THEN 0.5 ELSE 0.7 END), 6)::DOUBLE / count(*), 6) AS ratio FROM ctx GROUP BY doc_id),
 n AS (SELECT doc_id, round(({" + ".join(f"max(contains(lower(text), '{t}')::INT)" for t in _TERMS)}) / {len(_TERMS)}, 6) AS covered,
 round(({" + ".join(f"coalesce(arg_min(type = '{k}', ord) FILTER (contains(lower(text), '{t}')), false)::INT" for t, k in _CHECKS)}) / {len(_CHECKS)}, 6) AS accuracy FROM ents2 GROUP BY doc_id)
-SELECT doc_id, covered::DOUBLE AS covered, accuracy::DOUBLE AS accuracy, coalesce(ratio, 0)::DOUBLE AS ratio, round(0.4 * covered + 0.3 * accuracy + 0.3 * coalesce(ratio, 0), 3)::DOUBLE AS overall FROM n LEFT JOIN c USING (doc_id)""")
+SELECT doc_id, covered::DOUBLE AS covered, accuracy::DOUBLE AS accuracy, coalesce(ratio, 0)::DOUBLE AS ratio, round((4 * covered + 3 * accuracy + 3 * coalesce(ratio, 0))::DECIMAL(18, 6) * 0.1, 3)::DOUBLE AS overall FROM n LEFT JOIN c USING (doc_id)""")
 def graph_quality(spark, sf):
     pairs = _typed_pairs(spark, sf)
     told = extraction.context_relations(pairs.withColumn("id2", F.struct("doc_id", "source_type", "target_type")), "id2").select("id2.*", "type")

@@ -122,7 +122,7 @@ pairs AS (SELECT a.doc_id, a.sent_id, a.sentence, a.ord AS source_ord, a.text AS
 def _pairs(spark, sf):
     docs = read(spark, sf, "documents")
     entities = extraction.capitalised_entities(docs, None)
-    return extraction.pairs_in_sentence(extraction.sentence_hits(docs, entities))
+    return extraction.pairs_in_sentence(extraction.with_verbs(extraction.sentence_hits(docs, entities)))
 
 
 @query(f"WITH {_SQL_ENTITIES} SELECT doc_id, ord, text, n FROM ents WHERE ord <= 6")
