@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.streaming.expiring import rate_limited  # noqa: F401  (limits, with state that expires)
+
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Events, span and last event of each session; events later than ``late`` behind the newest are dropped."""
@@ -46,29 +48,6 @@ def card_schedule(reviews: DataFrame, key: str = "card_id") -> DataFrame:
     return reviews.groupBy(key).applyInPandasWithState(run, out, kept, "append", "NoTimeout")
 
 
-def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60, block_seconds: int = 60, key: str = "client") -> DataFrame:
-    """Each request with whether it passes: at most ``limit`` in any window, then a block. requests: key (string), ts."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState
-
-    def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, until = state.get if state.exists else ([], 0.0)
-        recent, rows = list(recent), []
-        for ts in pd.concat(frames)["ts"].sort_values():
-            now = ts.timestamp()
-            recent = [t for t in recent if t > now - seconds]
-            ok = now >= until and len(recent) < limit
-            if ok:
-                recent.append(now)
-            elif now >= until:
-                until = now + block_seconds
-            rows.append((k[0], ts, ok))
-        state.update((recent, until))
-        yield pd.DataFrame(rows, columns=[key, "ts", "allowed"])
-
-    return requests.groupBy(key).applyInPandasWithState(run, f"{key} string, ts timestamp, allowed boolean", "recent array<double>, until double", "append", "NoTimeout")
-
-
 def merged_annotations(ops: DataFrame, key: str = "annotation_id") -> DataFrame:
     """The state of each annotation after every batch of its operations. ops: key, seq, op, content, clock (JSON of counts)."""
     import json

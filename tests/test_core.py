@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import bias, catalog, credibility, ethics, exports, extraction, graph, learning, privacy, vectors
-from marginalia.plans import text
+from marginalia.plans import relations
 from marginalia.sources import readers
 from marginalia.streaming import state
 
@@ -97,7 +97,7 @@ def test_references_and_antecedents(spark):
 def test_relations_take_every_entity(spark, tmp_path):
     names = "Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Sigma".split()
     spark.createDataFrame([(1, " ".join(names[:6] * 2) + ". " + " ".join(names[6:]) + ".")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    pairs = {frozenset((r.source, r.target)) for r in text.relation_pipeline(spark, str(tmp_path)).collect()}
+    pairs = {frozenset((r.source, r.target)) for r in relations.relation_pipeline(spark, str(tmp_path)).collect()}
     assert pairs == {frozenset((a, b)) for part in (names[:6], names[6:]) for a in part for b in part if a < b}
 
 
