@@ -58,24 +58,24 @@ def segments(docs: DataFrame, tokenizer_path: str, longest: int, id_col: str = "
     Counts are the tokenizer library's for the part by itself. A document without tokens (null or blank) is one part.
     """
 
-    @F.arrow_udf("array<struct<start:int,size:int,n:long>>")
+    @F.arrow_udf("array<struct<n:long,part:string>>")
     def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = counter_of(tokenizer_path)
         for texts in batches:
-            ends, flat = [0], []
+            ends, counts, pieces = [0], [], []
             for s in range(0, len(texts), 500):
                 for t in texts.slice(s, 500).to_pylist():
-                    flat += counter.segments(t or "", longest)
-                    ends.append(len(flat))
-            start, end, n = np.array(flat, np.int64).reshape(-1, 3).T
-            each = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(n)], names=["start", "size", "n"])
+                    found = counter.segments(t or "", longest)
+                    counts += [n for *_, n in found]
+                    pieces += [t[a:b] for a, b, _ in found] if len(found) > 1 else [None] * len(found)  # a whole text stays where it is
+                    ends.append(len(counts))
+            each = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(pieces, pa.string())], names=["n", "part"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), parts(F.col(text_col)).alias("parts"))
-    each = cut.select("doc_id", "text", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("segment", "part"))
-    part = F.when(F.col("n_parts") == 1, F.col("text")).otherwise(F.substring("text", F.col("part.start") + 1, F.col("part.size")))
-    return each.select("doc_id", "segment", F.col("part.n").alias("n_tokens"), part.alias("text"))
+    each = cut.select("doc_id", F.when(F.size("parts") == 1, F.col("text")).alias("text"), F.posexplode("parts").alias("segment", "part"))  # no part carries its whole text along
+    return each.select("doc_id", "segment", F.col("part.n").alias("n_tokens"), F.coalesce("part.part", "text").alias("text"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, buckets: int = 12, longest: int = 2048, budget: int = 65_536, group_batches: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
