@@ -396,3 +396,17 @@ def test_gradient_of_the_network():
         up = loss()
         net.p[k][at] -= 2e-2
         assert abs((up - loss()) / 2e-2 - grad[k][at]) < 2e-3 + 0.05 * abs(grad[k][at]), k
+
+
+def test_long_texts_are_packed_in_their_length(spark):
+    """A text of 20 MB costs its length, not its square: its parts are the text."""
+    import time
+
+    line = "some words of a text that goes on and on, line after line.\n"
+    df = spark.createDataFrame([(1, line * (20_000_000 // len(line))), (2, "short")], "doc_id long, text string")
+    begun = time.time()
+    parts = packing.segments(df, PATH, 64)
+    got = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("n_tokens").alias("most")).collect()
+    took = time.time() - begun
+    assert {r.doc_id: r.chars for r in got} == {1: len(line) * (20_000_000 // len(line)), 2: 5} and max(r.most for r in got) <= 64 and max(r.n for r in got) > 50_000
+    assert took < 60
