@@ -62,6 +62,10 @@ def _lists(lengths: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+# Spark infers from an explode that its array isn't empty and would compute it a second time for that filter; what is
+# marked nondeterministic is computed once.
+
+
 def _scanner(kind: T.DataType, mode: str):
     hit = T.StructType().add("name", kind).add("starts", T.ArrayType(T.IntegerType()))
 
@@ -84,7 +88,7 @@ def _scanner(kind: T.DataType, mode: str):
             hits = pa.StructArray.from_arrays([flat.take(pa.array(taken, pa.int64())), _lists(per_name, pa.array(starts, pa.int32()))], ["name", "starts"])
             yield _lists(per_row, _lists(per_text, hits))
 
-    return scan
+    return scan.asNondeterministic()
 
 
 def hits(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", mode: str = "all") -> DataFrame:
@@ -143,7 +147,7 @@ def best_names(words: DataFrame, names: DataFrame, word: str, *keys: str) -> Dat
     """
     w = words.groupBy(*keys).agg(F.collect_set(F.lower(F.col(word))).alias("_w"))
     n = names.where(F.col("text").isNotNull()).groupBy(*keys).agg(F.collect_set("text").alias("_n"))
-    best = w.join(n, list(keys)).select(*keys, F.explode(_best_names("_w", "_n", F.transform("_n", lambda x: F.lower(x)))).alias("b"))
+    best = w.join(n, list(keys)).select(*keys, F.explode(_best_names.asNondeterministic()("_w", "_n", F.transform("_n", lambda x: F.lower(x)))).alias("b"))
     best = best.select(*keys, F.col("b.w").alias("_low"), F.col("b.text").alias(f"{word}_entity"))
     return words.withColumn("_low", F.lower(F.col(word))).join(best, [*keys, "_low"]).drop("_low")
 
@@ -179,7 +183,7 @@ def _sums_before(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def sums_before(lengths: Column) -> Column:
     """array<long>: for each number of an array the sum of those before it."""
-    return _sums_before(F.coalesce(lengths, F.array().cast("array<int>")))
+    return _sums_before.asNondeterministic()(F.coalesce(lengths, F.array().cast("array<int>")))
 
 
 @F.arrow_udf(T.StringType())
