@@ -74,7 +74,7 @@ def segments(docs: DataFrame, tokenizer_path: str, longest: int, id_col: str = "
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), parts(F.col(text_col)).alias("parts"))
-    each = cut.select("doc_id", F.when(F.size("parts") == 1, F.col("text")).alias("text"), F.posexplode("parts").alias("segment", "part"))  # no part carries its whole text along
+    each = cut.select("doc_id", F.when(F.size("parts") == 1, F.col("text")).alias("text"), F.posexplode_outer("parts").alias("segment", "part"))  # no part carries its whole text along; outer: no filter on the parts computes them twice
     return each.select("doc_id", "segment", F.col("part.n").alias("n_tokens"), F.coalesce("part.part", "text").alias("text"))
 
 
