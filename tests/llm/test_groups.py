@@ -214,6 +214,41 @@ def test_recall_on_the_embeddings(spark):
         assert hit >= least * 10 * (ids % 20 == 0).sum()
 
 
+def awkward_vectors():
+    g = np.random.default_rng(12)
+    noise = g.standard_normal((4000, 16))
+    wide = noise * 10.0 ** np.linspace(-4, 4, 16)
+    tight = np.repeat(g.standard_normal((4, 16)), 1000, 0) + noise * 1e-4
+    mixed = np.concatenate([noise[:3000] * 1e-3, noise[3000:] * 1e3])
+    return {"far from zero": (noise + 1000).astype(np.float32), "tight clusters": tight.astype(np.float32), "few large ones": mixed, "odd scales": wide, "doubles that floats can't tell apart": 1 + noise * 1e-9}
+
+
+@pytest.mark.parametrize("kind", awkward_vectors())
+def test_nearest_are_found_whatever_the_rows(spark, kind):
+    x = awkward_vectors()[kind]
+    numbers = "float" if x.dtype == np.float32 else "double"
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"vec_id long, embedding array<{numbers}>").repartition(4)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, block=1500, query_block=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 40
+    for q, mine in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        assert [v for _, v, _ in sorted(mine)] == best.tolist() and np.allclose([s for *_, s in sorted(mine)], d[best], rtol=1e-12)
+
+
+def test_a_repeated_id_hides_no_other(spark):
+    g = np.random.default_rng(13)
+    x = np.concatenate([[[9.0] * 8], 9 + g.standard_normal((500, 8)) * 0.01, g.standard_normal((300, 8))])
+    ids = [0, *[7] * 500, *range(100, 400)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    got = [r.vec_id for r in ann.search(df, F.col("vec_id") == 0, block=200).orderBy("rank").collect()]
+    assert got == [7, *(100 + np.argsort(d[501:], kind="stable")[:9]).tolist()]
+
+
 def test_parallel_error_is_penalised():
     x = np.random.default_rng(4).standard_normal((2000, 16))
     share = []
