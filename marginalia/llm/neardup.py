@@ -211,8 +211,54 @@ def _texts(column: pa.Array) -> np.ndarray:
     return np.array([*column.to_pylist(), None], object)[:-1]
 
 
+def _folded(edges: DataFrame, roots: bool = False) -> DataFrame:
+    """(a, b): what the edges of each partition connect, as stars; up to SENT_ROWS edges are held at once.
+
+    roots: whether stars hold their smallest member too, as a row (b, b).
+    """
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            member, root = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held[:] = [(member, root)]
+            return len(member)
+
+        def batch():
+            member, root = held.pop()
+            own = np.unique(root) if roots else root[:0]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([member, own]), pa.int64()), pa.array(np.concatenate([root, own]), pa.int64())], names=["a", "b"])
+
+        for x in batches:
+            if x.num_rows:
+                held.append(tuple(np.asarray(x.column(c), np.int64) for c in ("a", "b")))
+                n += x.num_rows
+            if n > SENT_ROWS:
+                n = out()
+                if n > SENT_ROWS // 2:
+                    yield batch()
+                    n = 0
+        if held:
+            out()
+            yield batch()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge (a, b); by large and small stars."""
+    """(node, root): the smallest node reachable, for every node of an edge (a, b); by large and small stars.
+
+    Edges are folded where they lie first. What is left is counted: up to SENT_ROWS rows are one partition, whose stars
+    are the components; more of them go through rounds of joins.
+    """
+    edges = stored(_folded(edges.where("a <> b")), "neardup-folded")
+    if edges.count() <= SENT_ROWS:
+        return _folded(edges.coalesce(1), roots=True).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return _by_rounds(edges)
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
     while True:

@@ -70,6 +70,30 @@ def test_near_duplicates(spark, rows, percent, monkeypatch):
     assert got == sorted((i is None, i or 0, n, -1 if c is None else c, i is None or i == c) for (i, _), n, c in zip(rows, sizes, want, strict=True))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, few):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(3000), rnd.randrange(3000)) for _ in range(1500)] + [(i, i + 1) for i in range(5000, 5400)] + [(9, 9)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for x, y in edges:
+        if x != y:
+            p, q = find(x), find(y)
+            top[max(p, q)] = min(p, q)
+    rounds, by_rounds = [], getattr(neardup, "_by_rounds", None)
+    if not few:
+        monkeypatch.setattr(neardup, "SENT_ROWS", 50)
+    monkeypatch.setattr(neardup, "_by_rounds", lambda e: rounds.append(1) or by_rounds(e))
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, find(x)) for x in top)
+    assert bool(rounds) is not few
+
+
 def test_intersections_of_blocks_join_components():
     rnd = random.Random(8)
     sets = [np.array(sorted(rnd.sample(range(40), rnd.randint(1, 40))), np.uint64) for _ in range(60)]
