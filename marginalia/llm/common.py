@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to Python
+
 _own: dict[str, str] = {}
 _made: list[str] = []  # folders of this process, in their order
 
@@ -45,6 +50,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(f: Callable) -> Callable:
+    """While ``f`` runs, Arrow batches to Python hold BATCH_BYTES (and a row) at most; its first argument is a DataFrame.
+
+    Spark's own bound is 64 MB. A batch's memory is taken in the JVM and, as bytes and as strings, in the worker, once for
+    each running task, and neither gives all of it back. It counts for what ``f`` itself runs or stores.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **options):
+        conf = docs.sparkSession.conf
+        before = conf.get(key)
+        conf.set(key, str(BATCH_BYTES))
+        try:
+            return f(docs, *args, **options)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that no column of a user's table has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import free_names, stored
+from marginalia.llm.common import free_names, small_batches, stored
 
 KEYED, MORE = 40, 152  # symbols (16 bits) for the keys, further symbols (8 bits) for the cut on distance
 SENT_ROWS = 500_000  # rows of two numbers that may be broadcast: 16 MB; more are joined by shuffles
@@ -457,6 +457,7 @@ def _mixed_members(nodes: DataFrame, rooted: DataFrame, lay: Layout) -> DataFram
     return stored(hit.join(nodes, "node"), "neardup-mixed")
 
 
+@small_batches
 def _groups(docs: DataFrame, words: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame, str, str]:
     """(rows as ``_sets`` stores them, the root of each row's group by ``uid``, the names of the two columns in rows)."""
     lay = Layout(percent)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
@@ -111,6 +112,22 @@ def test_intersections_of_blocks_join_components():
     assert set(got) <= set(pairs) and parts(got) == parts(pairs) and len(got) < 20 < len(pairs)
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    key, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", {}, neardup.stored
+    before, sizes = spark.conf.get(key), lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs)
+
+    def spied(df, tag):
+        if tag == "neardup-sets":
+            seen[tag] = [r.n for r in big.mapInArrow(sizes, "n long").collect()]
+        return stored(df, tag)
+
+    big = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))  # 24 MB
+    assert max(r.n for r in big.mapInArrow(sizes, "n long").collect()) > 20e6
+    monkeypatch.setattr(neardup, "stored", spied)
+    neardup.near_duplicates(spark.createDataFrame(variants(2), "doc_id long, text string"))
+    assert max(seen["neardup-sets"]) < 5e6 and spark.conf.get(key) == before
+
+
 def test_deduplicated_keeps_one_row_of_each_group(spark):
     rows = [(i, t) for i, t, *_ in awkward_rows()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
