@@ -31,6 +31,7 @@ KEYED, MORE = 40, 152  # symbols (16 bits) for the keys, further symbols (8 bits
 SENT_ROWS = 500_000  # rows of two numbers that may be broadcast: 16 MB; more are joined by shuffles
 BLOCK = 2048  # members of a bucket or family that meet in one block
 BLOCK_SHINGLES = 2_000_000  # shingles of a family's block: 16 MB
+WORDS_KEPT = 100_000  # word hashes that a Python worker keeps: 20 MB
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _g = np.random.default_rng(20)
 _MULTIPLIERS = _g.integers(1, 2**63, KEYED + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +85,7 @@ class Shingler:
         if not ws:
             return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > WORDS_KEPT:
             memo.clear()
         h = []
         for w in ws:
@@ -180,7 +181,7 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made from the texts again, reach ``percent``.
+    """What the pairs (a, b) whose sets, made from the texts again, reach ``percent`` connect, folded.
 
     Both sides are dealt over a grid of cells by hash, so a node's text goes to few cells and a node with many partners
     is spread over a row of them.
@@ -204,55 +205,55 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
         return (a[ok], b[ok]) if any(ok) else None
 
-    return stored(_by_cell(rows, ["cell"], {"a": np.asarray, "b": np.asarray, "text": _texts}, of_cell), "neardup-links")
+    return _by_cell(rows, ["cell"], {"a": np.asarray, "b": np.asarray, "text": _texts}, of_cell)
 
 
 def _texts(column: pa.Array) -> np.ndarray:
     return np.array([*column.to_pylist(), None], object)[:-1]
 
 
-def _folded(edges: DataFrame, roots: bool = False) -> DataFrame:
-    """(a, b): what the edges of each partition connect, as stars; up to SENT_ROWS edges are held at once.
+def folds(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """(a, b): what the edges of these batches connect, as stars; up to SENT_ROWS edges are held at once.
 
     roots: whether stars hold their smallest member too, as a row (b, b).
     """
+    held, n = [], 0
+
+    def out():
+        member, root = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held[:] = [(member, root)]
+        return len(member)
+
+    def batch():
+        member, root = held.pop()
+        own = np.unique(root) if roots else root[:0]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([member, own]), pa.int64()), pa.array(np.concatenate([root, own]), pa.int64())], names=["a", "b"])
+
+    for x in batches:
+        if x.num_rows:
+            held.append(tuple(np.asarray(x.column(c), np.int64) for c in ("a", "b")))
+            n += x.num_rows
+        if n > SENT_ROWS:
+            n = out()
+            if n > SENT_ROWS // 2:
+                yield batch()
+                n = 0
+    if held:
+        out()
+        yield batch()
 
-    def run(batches):
-        held, n = [], 0
-
-        def out():
-            member, root = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held[:] = [(member, root)]
-            return len(member)
-
-        def batch():
-            member, root = held.pop()
-            own = np.unique(root) if roots else root[:0]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([member, own]), pa.int64()), pa.array(np.concatenate([root, own]), pa.int64())], names=["a", "b"])
-
-        for x in batches:
-            if x.num_rows:
-                held.append(tuple(np.asarray(x.column(c), np.int64) for c in ("a", "b")))
-                n += x.num_rows
-            if n > SENT_ROWS:
-                n = out()
-                if n > SENT_ROWS // 2:
-                    yield batch()
-                    n = 0
-        if held:
-            out()
-            yield batch()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+def _folded(edges: DataFrame, roots: bool = False) -> DataFrame:
+    return edges.select("a", "b").mapInArrow(lambda batches: folds(batches, roots), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folded: bool = False) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge (a, b); by large and small stars.
 
-    Edges are folded where they lie first. What is left is counted: up to SENT_ROWS rows are one partition, whose stars
+    Edges are folded where they lie first, unless they come ``folded``. What is left is counted: up to SENT_ROWS rows are one partition, whose stars
     are the components; more of them go through rounds of joins.
     """
-    edges = stored(_folded(edges.where("a <> b")), "neardup-folded")
+    edges = stored(edges if folded else _folded(edges.where("a <> b")), "neardup-folded")
     if edges.count() <= SENT_ROWS:
         return _folded(edges.coalesce(1), roots=True).select(F.col("a").alias("node"), F.col("b").alias("root"))
     return _by_rounds(edges)
@@ -291,9 +292,10 @@ def _dealt(rows: DataFrame, keys: list[str], is_big: Column, big_blocks: Column,
 
 
 def _by_cell(rows: DataFrame, keys: list[str], columns: dict[str, Callable], of_cell: Callable) -> DataFrame:
-    """Links (a, b) that ``of_cell`` finds in the rows of each cell; cells are dealt by hash and sorted, so they follow each other.
+    """Links (a, b) that ``of_cell`` finds in the rows of each cell, folded; cells are dealt by hash and sorted, so they follow each other.
 
-    columns: how each column that ``of_cell`` takes becomes an array.
+    columns: how each column that ``of_cell`` takes becomes an array. Links are folded in the function that finds them: a
+    second one would take a second Python worker for each task, and idle workers keep their memory.
     """
     at = [*keys, "i", "j"]
 
@@ -330,7 +332,7 @@ def _by_cell(rows: DataFrame, keys: list[str], columns: dict[str, Callable], of_
         if found:
             yield out()
 
-    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long")
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(lambda batches: folds(run(batches)), "a long, b long")
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -444,7 +446,7 @@ def _joined(families: DataFrame, rooted: DataFrame, texts: DataFrame, words: int
         return tuple(root[np.array(x)] for x in zip(*links, strict=True)) if links else None
 
     held = dict.fromkeys(("mine", "root"), np.asarray) | {"text": _texts}
-    return stored(_by_cell(rows, ["family"], held, of_cell), "neardup-joined")
+    return _by_cell(rows, ["family"], held, of_cell)
 
 
 def _mixed_members(nodes: DataFrame, rooted: DataFrame, lay: Layout) -> DataFrame:
@@ -475,9 +477,9 @@ def _groups(docs: DataFrame, words: int, percent: int, text_col: str) -> tuple[D
     one = _near(pairs, plain, lay).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     links = _confirmed(one, texts, words, percent)
     # What is left between components, family by family.
-    rooted = stored(_rooted(nodes.select("node", "n", "digest"), components(links)), "neardup-rooted")
-    families = components(_family_links(_mixed_members(plain, rooted, lay), lay))
-    above = components(_joined(families, rooted, texts, words, percent)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = stored(_rooted(nodes.select("node", "n", "digest"), components(links, folded=True)), "neardup-rooted")
+    families = components(_family_links(_mixed_members(plain, rooted, lay), lay), folded=True)
+    above = components(_joined(families, rooted, texts, words, percent), folded=True).select(F.col("node").alias("root"), F.col("root").alias("top"))
     by_set = rooted.join(above, "root", "left").select("digest", "n", F.coalesce("top", "root").alias("root"))
     return rows, small.join(by_set, ["digest", "n"], "left").select("uid", F.coalesce("root", "uid").alias("root")), uid, of
 

@@ -112,6 +112,22 @@ def test_intersections_of_blocks_join_components():
     assert set(got) <= set(pairs) and parts(got) == parts(pairs) and len(got) < 20 < len(pairs)
 
 
+def test_near_duplicates_take_one_python_worker_a_task(spark, monkeypatch):
+    chains, stored = [], neardup.stored
+
+    def spied(df, tag):
+        at = 0  # Python steps since the last exchange or scan, going down the plan
+        for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            at = 0 if re.search(r"Exchange|Scan", line) else at + bool(re.search(r"MapInArrow|ArrowEvalPython", line))
+            chains.append(at)
+        return stored(df, tag)
+
+    monkeypatch.setattr(neardup, "stored", spied)
+    df = spark.createDataFrame(variants(25), "doc_id long, text string").repartition(3)
+    assert len({r.component_id for r in neardup.near_duplicates(df, words=4).collect()}) == len(set(groups(variants(25))[0]))
+    assert max(chains) == 1
+
+
 def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     key, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", {}, neardup.stored
     before, sizes = spark.conf.get(key), lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs)
