@@ -141,9 +141,9 @@ def section_attention(sections: DataFrame) -> DataFrame:
 
 
 def snapshot_comprehension(minutes: Column, scroll: Column, highlights: Column, takeaways: Column, questions: Column) -> Column:
-    time = F.when((minutes >= 10) & (minutes <= 30), 0.15).when(minutes > 5, 0.1).otherwise(0.0)
+    base = F.when((minutes >= 10) & (minutes <= 30), 0.45).when(minutes > 5, 0.4).otherwise(0.3)  # 0.3 and the time's share, as 0.3 + 0.15 is less than 0.45 in doubles
     acts = F.least(F.lit(0.15), highlights * 0.03) + F.least(F.lit(0.15), takeaways * 0.05) + F.least(F.lit(0.05), questions * 0.01)
-    return F.least(F.lit(1.0), 0.3 + time + scroll * 0.2 + acts)
+    return F.least(F.lit(1.0), base + scroll * 0.2 + acts)
 
 
 def snapshot_diffs(snapshots: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -45,3 +45,9 @@ def check(spark, tmp_path_factory):
 def test_capitals_inside_words_and_beside_digits(check, name):
     docs = [(i + 1, t) for i, t in enumerate(TEXTS)]
     assert check(name, documents=(docs, "doc_id long, text string"))
+
+
+def test_comprehension_of_a_half(check):
+    texts = [(1, 0, "x" * 25), (2, 0, "y" * 50), (3, 0, "z" * 50), (3, 1, "w" * 25), (4, 0, "v" * 24), (5, 0, "short")]
+    rows = check("reflection_prompts", conversations=([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn long, role string, text string"))
+    assert ("1.0", "asked,connect,learned,apply") not in rows and ("1.0", "connect,learned,apply") in rows
