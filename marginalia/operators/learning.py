@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEAST_EASE, FIRST_EASE = 1.3, 2.5
-_STATE = "struct<ease:double,interval:int,repetitions:int,reviews:int,correct:int>"
+#: Fixed value: the longest interval in days whose due date a timestamp holds.
+MOST_DAYS = 100_000_000
+_STATE = "struct<ease:double,interval:bigint,repetitions:int,reviews:int,correct:int>"
 
 
 def review_step(state: Column, q: Column) -> Column:
     """The state after a review of quality ``q`` (0 to 5).
 
     Below 3 the repetitions start again and the interval is a day; from 3 on the ease changes first, and the interval
-    is 1, then 6, then the last one times the new ease, rounded half to even.
+    is 1, then 6, then the last one times the new ease, rounded half to even. The change of ease is counted in whole
+    hundredths, so that it is the double nearest to it and products on a half round as they should.
     """
     missed = 5 - q
-    ease = F.greatest(F.lit(LEAST_EASE), state["ease"] + (0.1 - missed * (0.08 + missed * 0.02)))
-    interval = F.when(state["repetitions"] == 0, 1).when(state["repetitions"] == 1, 6).otherwise(F.bround(state["interval"] * ease, 0).cast("int"))
+    ease = F.greatest(F.lit(LEAST_EASE), state["ease"] + (10 - missed * (8 + missed * 2)) / F.lit(100.0))
+    interval = F.when(state["repetitions"] == 0, 1).when(state["repetitions"] == 1, 6).otherwise(F.bround(state["interval"] * ease, 0).cast("long"))
     right = q >= 3
     return F.struct(
         F.when(right, ease).otherwise(state["ease"]).alias("ease"), F.when(right, interval).otherwise(1).alias("interval"),
@@ -36,7 +39,7 @@ def card_states(reviews: DataFrame, key: list[str], ts: str = "ts", tie: str = "
     ordered = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(quality).cast("int").alias("q"))))
     folded = reviews.groupBy(*key).agg(ordered.alias("log"))
     s = folded.select(*key, F.aggregate("log", new_card(), lambda a, r: review_step(a, r["q"])).alias("s"), F.element_at("log", -1)["ts"].alias("last_review"))
-    return s.select(*key, "s.*", "last_review", (F.col("last_review") + F.make_dt_interval(F.col("s.interval"))).alias("next_review"))
+    return s.select(*key, "s.*", "last_review", (F.col("last_review") + F.make_dt_interval(F.least("s.interval", F.lit(MOST_DAYS)).cast("int"))).alias("next_review"))
 
 
 def due(cards: DataFrame, as_of: Column, *key: str) -> DataFrame:

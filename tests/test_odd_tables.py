@@ -51,3 +51,12 @@ def test_comprehension_of_a_half(check):
     texts = [(1, 0, "x" * 25), (2, 0, "y" * 50), (3, 0, "z" * 50), (3, 1, "w" * 25), (4, 0, "v" * 24), (5, 0, "short")]
     rows = check("reflection_prompts", conversations=([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn long, role string, text string"))
     assert ("1.0", "asked,connect,learned,apply") not in rows and ("1.0", "connect,learned,apply") in rows
+
+
+@pytest.mark.parametrize("name", ["sm2_fold", "scheduler_export"])
+def test_intervals_on_a_half(check, name):
+    """Answers whose intervals fall on halves that sums of rounded tenths miss, and one that outgrows 32 bits."""
+    logs = [(3, 3, 4, 3, 3, 3, 3, 5, 3), (3, 3, 4, 3, 4, 3, 3, 3, 4), (3, 3, 4, 3, 4, 4, 3, 3, 5), (3, 3, 4, 4, 3, 3, 4, 3, 5), (5, 1, 0, 2, 4), (5,) * 18]
+    start = dt.datetime(2024, 1, 1)
+    events = [(100 * u + i, start + dt.timedelta(days=i), u, "view", float(q), "{}") for u, log in enumerate(logs) for i, q in enumerate(log)]
+    check(name, events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
