@@ -60,3 +60,12 @@ def test_intervals_on_a_half(check, name):
     start = dt.datetime(2024, 1, 1)
     events = [(100 * u + i, start + dt.timedelta(days=i), u, "view", float(q), "{}") for u, log in enumerate(logs) for i, q in enumerate(log)]
     check(name, events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+
+
+@pytest.mark.parametrize("name", ["provider_relations", "provider_results"])
+def test_questions_that_differ_after_their_key(check, name):
+    """A key holds 100 characters of a context of 120: the rest says what is answered, in even documents and in odd ones."""
+    head = "Alpha saw Gamma " + "x" * 86  # 102 characters
+    docs = [(1, f"{head} and here."), (2, f"{head} of those."), (3, f"{head} with all."), (4, "Beta and Delta.")]
+    docs += [(11, f"Zeta met Theta {'y' * 90} and more."), (12, f"Zeta met Theta {'y' * 90} none at all."), (13, "Iota and Kappa.")]
+    assert len(check(name, documents=(docs, "doc_id long, text string"))) > 1
