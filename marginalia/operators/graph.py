@@ -159,11 +159,11 @@ def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _levels(e: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """Forward rounds: level d holds (g, source, node, paths) for nodes whose shortest paths from the source have d edges, with their number."""
-    levels = [stored(sources.select("g", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "paths")]
+    levels = [stored(sources.select("g", F.col("node").alias("source"), "node", "times", F.lit(1.0).alias("paths")), "paths")]
     seen = levels[0].select("g", "source", "node")
     step = e.select("g", F.col("src").alias("node"), "dst")
     while True:
-        ahead = levels[-1].join(step, ["g", "node"]).groupBy("g", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        ahead = levels[-1].join(step, ["g", "node"]).groupBy("g", "source", F.col("dst").alias("node")).agg(F.first("times").alias("times"), F.sum("paths").alias("paths"))
         level = stored(ahead.join(seen, ["g", "source", "node"], "left_anti"), "paths")
         if level.isEmpty():
             return levels
@@ -172,30 +172,40 @@ def _levels(e: DataFrame, sources: DataFrame) -> list[DataFrame]:
 
 
 def _dependencies(e: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Backward rounds: (g, node, x), how much of each source's shortest paths to other nodes runs through the node."""
+    """Backward rounds: (g, node, x), how much of each source's shortest paths to other nodes runs through the node, times the nodes that the source stands for."""
     below, parts = levels[-1].withColumn("x", F.lit(0.0)), []
     back = e.select("g", F.col("dst").alias("node"), "src")
     for level in reversed(levels[1:-1]):
         share = below.join(back, ["g", "node"]).groupBy("g", "source", F.col("src").alias("node")).agg(F.sum((1 + F.col("x")) / F.col("paths")).alias("share"))
-        below = stored(level.join(share, ["g", "source", "node"], "left").select("g", "source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("x")), "paths")
-        parts.append(below.groupBy("g", "node").agg(F.sum("x").alias("x")))
+        below = stored(level.join(share, ["g", "source", "node"], "left").select("g", "source", "node", "times", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("x")), "paths")
+        parts.append(below.groupBy("g", "node").agg(F.sum(F.col("x") * F.col("times")).alias("x")))
     return reduce(DataFrame.unionByName, parts) if parts else levels[0].select("g", "node", F.lit(0.0).alias("x")).limit(0)
 
 
+def _twins(e: DataFrame, nodes: DataFrame, most: int = 16) -> DataFrame:
+    """(g, node, times): the nodes as sources, where one stands for all that no edge leads to and whose edges go to the same nodes (``most`` at most)."""
+    into = e.select("g", F.col("dst").alias("node")).distinct()
+    few = e.groupBy("g", F.col("src").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") <= most).join(into, ["g", "node"], "left_anti")
+    alike = e.withColumnRenamed("src", "node").join(few.select("g", "node"), ["g", "node"], "left_semi").groupBy("g", "node").agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    merged = alike.groupBy("g", "to").agg(F.min("node").alias("node"), F.count("*").alias("times")).select("g", "node", "times")
+    return nodes.join(few.select("g", "node"), ["g", "node"], "left_anti").select("g", "node", F.lit(1).cast("long").alias("times")).unionByName(merged)
+
+
 def betweenness(edges: DataFrame, group: str | None = None, sample: float | None = None, block: int = 1000, seed: int = 1) -> DataFrame:
     """(group, node, betweenness[, error]): the share of shortest directed paths that run through each node, over (n - 1)(n - 2).
 
     edges: src, dst and perhaps ``group``, whose graphs stand apart. Shortest paths are counted level by level from many
     sources at once and their shares summed level by level back, all by joins on (source, node); ``block`` sources at a time
-    bound what is kept (block x nodes rows). All nodes are sources, or the ``sample`` share of them that a hash with the
-    seed picks: then the sums are scaled up, and ``error`` is the standard error of the estimate. Loops and repeated edges
+    bound what is kept (block x nodes rows). All nodes are sources, those that no edge leads to and whose few edges go to
+    the same nodes once, with their number; or the ``sample`` share of them that a hash with the seed picks: then the sums are scaled up, and ``error`` is the standard error of the estimate. Loops and repeated edges
     count nothing; a graph of one or two nodes has 0; an empty table gives no rows.
     """
     e = stored(edges.select((F.col(group) if group else F.lit(0)).alias("g"), "src", "dst").where("src <> dst").distinct(), "edges")
     ends = edges.select((F.col(group) if group else F.lit(0)).alias("g"), F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").isNotNull()).distinct()
     nodes = stored(ends, "nodes")
     picked = F.lit(True) if sample is None else F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(sample * 1_000_000)
-    sources = nodes.where(picked)
+    # a sample's error comes from the spread between blocks of single sources, so there each stands for itself
+    sources = stored(_twins(e, nodes), "sources") if sample is None else nodes.where(picked).withColumn("times", F.lit(1).cast("long"))
     blocks = -(-sources.count() // block)
     sums = []
     for i in range(blocks):

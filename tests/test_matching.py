@@ -252,3 +252,16 @@ def test_awkward_texts_have_no_antecedents(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     ents = spark.createDataFrame([(1, 1, "It")], "doc_id int, ord int, text string")
     assert extraction.placed_references(df).count() == 0 and extraction.resolved(df, ents).first().text == text
+
+
+def test_betweenness_takes_twin_sources_once(spark):
+    """A hundred leaves at three hubs are three sources; what they stand for is counted in full, in each graph apart."""
+    ring = [("h0", "h1"), ("h1", "h2"), ("h2", "h0"), ("h1", "top"), ("h2", "top")]
+    edges = [(g, a, b) for g in "ab" for a, b in [*ring, *((f"l{i}", f"h{i % 3}") for i in range(100 if g == "a" else 7)), ("m1", "h0"), ("m1", "h1"), ("m2", "h1"), ("m2", "h0")]]
+    df = spark.createDataFrame(edges, "g string, src string, dst string")
+    nodes = df.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    twins = {(r.g, r.node): r.times for r in graph._twins(df, nodes).collect()}
+    assert {g: sorted(t for (h, _), t in twins.items() if h == g) for g in "ab"} == {"a": [1, 1, 1, 1, 2, 33, 33, 34], "b": [1, 1, 1, 1, 2, 2, 2, 3]}
+    got = {(r.g, r.node): r.betweenness for r in graph.betweenness(df, "g").collect()}
+    want = {(g, v): x for g in "ab" for v, x in brandes([(a, b) for h, a, b in edges if h == g]).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
