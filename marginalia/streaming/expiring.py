@@ -84,57 +84,83 @@ def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60, block_
     return out.select(key, _time(), "allowed")
 
 
-class _Upload(StatefulProcessor):
+class _Uploads(StatefulProcessor):
+    """The uploads of one bucket: their states are one value and their next deadline is one timer, as each access costs a message."""
+
     def __init__(self, timeout: int) -> None:
         self.timeout = timeout
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string, since double")
+        self.open = handle.getValueState("open", "ids array<string>, statuses array<string>, since array<double>")
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N803
+    def _load(self) -> dict[str, tuple[str, float]]:
+        if not self.open.exists():
+            return {}
+        ids, statuses, since = self.open.get()
+        return dict(zip(ids, zip(statuses, since, strict=True), strict=True))
+
+    def _deadline(self, since: float) -> int:
+        return int(1000 * (since + self.timeout))
+
+    def _keep(self, states: dict[str, tuple[str, float]]) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if states:
+            statuses, since = zip(*states.values(), strict=True)
+            self.open.update((list(states), list(statuses), list(since)))
+            self.handle.registerTimer(self._deadline(min(since)))
+        else:
+            self.open.clear()
+
+    def _said(self, out: list[tuple]):
         import pandas as pd
 
-        status, since = self.status.get() if self.status.exists() else (None, 0.0)
-        out = []
-        for now, to in _rows(rows, "at", "status"):
+        return pd.DataFrame(out, columns=["doc_id", "at", "status", "accepted", "reason"])
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N803
+        states, out = self._load(), []
+        for doc, now, to in _rows(rows, "doc_id", "at", "status"):
+            status, since = states.get(doc, (None, 0.0))
             if status == "processing" and now >= since + self.timeout:  # its time was over before this row
-                out.append((key[0], since + self.timeout, "failed", True, "timeout"))
+                out.append((doc, since + self.timeout, "failed", True, "timeout"))
                 status = "failed"
+                states[doc] = (status, since)
             ok = to == "pending" if status is None else to in STEPS.get(status, ())
-            out.append((key[0], now, to, ok, None if ok else f"{status or 'nothing'} to {to}"))
+            out.append((doc, now, to, ok, None if ok else f"{status or 'nothing'} to {to}"))
             if ok:
-                status, since = to, now
-        if status is not None:
-            self.status.update((status, since))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        if status is not None:
-            self.handle.registerTimer(int(1000 * (since + self.timeout)))
-        yield pd.DataFrame(out, columns=["doc_id", "at", "status", "accepted", "reason"])
+                states[doc] = (to, now)
+        self._keep(states)
+        yield self._said(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N803
-        import pandas as pd
-
-        status, since = self.status.get()
-        self.status.clear()
-        if status == "processing":
-            yield pd.DataFrame([(key[0], since + self.timeout, "failed", True, "timeout")], columns=["doc_id", "at", "status", "accepted", "reason"])
+        states, out = self._load(), []
+        past = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        for doc, (status, since) in list(states.items()):
+            if self._deadline(since) < past:
+                del states[doc]
+                if status == "processing":
+                    out.append((doc, since + self.timeout, "failed", True, "timeout"))
+        self._keep(states)
+        if out:
+            yield self._said(out)
 
     def close(self) -> None:
         pass
 
 
-def upload_states(steps: DataFrame, timeout: int = 600, late: str = "1 minute") -> DataFrame:
+def upload_states(steps: DataFrame, timeout: int = 600, late: str = "1 minute", buckets: int = 4096) -> DataFrame:
     """(doc_id, ts, status, accepted, reason): each step of an upload, taken or refused, and the failure of those that stay in processing.
 
     steps: doc_id, ts, status. An upload begins as pending, goes to processing and ends as validated or failed; any other
     step is refused with a reason (the side output: ``accepted`` is false) and changes nothing. What is in processing for
-    ``timeout`` seconds fails by a timer. State is dropped ``timeout`` after the last step taken.
+    ``timeout`` seconds fails by a timer. State is dropped ``timeout`` after the last step taken. Uploads are kept in
+    ``buckets`` by a hash of their ids: a bucket holds its share of the open uploads and of a batch's rows in memory.
     """
     use_state_store(steps.sparkSession)
     s = _timed(steps, late, F.col("doc_id").cast("string").alias("doc_id"), F.col("status"))
-    out = s.groupBy("doc_id").transformWithStateInPandas(_Upload(timeout), "doc_id string, at double, status string, accepted boolean, reason string", "Append", "EventTime")
+    s = s.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    out = s.groupBy("bucket").transformWithStateInPandas(_Uploads(timeout), "doc_id string, at double, status string, accepted boolean, reason string", "Append", "EventTime")
     return out.select("doc_id", _time(), "status", "accepted", "reason")
 
 

@@ -83,3 +83,14 @@ def test_evaluation_with_half_credit(spark):
     assert (q.covered, q.accuracy, q.ratio) == (0.5, 0.5, 0.55) and q.overall == pytest.approx(0.515)
     valid = spark.createDataFrame([("X", "Y", "USES")], "source_type string, target_type string, type string")
     assert evaluation.type_coherence(typed.withColumn("rank", F.monotonically_increasing_id()), valid).first().precision == 0.5
+
+
+def test_uploads_share_buckets(spark, tmp_path):
+    """Many uploads of few buckets, over several batches: each has its own states and deadline, and no bucket costs a timer an upload."""
+    t = lambda s: START + dt.timedelta(seconds=s)
+    rows = [r for i in range(60) for r in [(f"u{i}", t(10 * i), "pending"), (f"u{i}", t(10 * i + 2), "processing"), *([(f"u{i}", t(10 * i + 5), "validated")] if i % 3 else [])]]
+    rows.append(("last", t(5000), "pending"))
+    got, sizes = run(spark, tmp_path, rows, "doc_id string, ts timestamp, status string", lambda s: expiring.upload_states(s, 60, "1 second", 3))
+    want = [(d, int((at - START).total_seconds()), s, True, None) for d, at, s in rows] + [(f"u{i}", 10 * i + 62, "failed", True, "timeout") for i in range(0, 60, 3)]
+    assert sorted((r.doc_id, int((r.ts - START).total_seconds()), r.status, r.accepted, r.reason or "") for r in got) == sorted((*w[:4], w[4] or "") for w in want)
+    assert max(sizes) <= 4 * 3
