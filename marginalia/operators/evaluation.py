@@ -18,15 +18,18 @@ def lenient(found: DataFrame, expected: DataFrame, id_col: str = "doc_id") -> tu
     or ``missed``; recall counts all but missed ones, precision the share of found relations that say more than RELATED_TO.
     Documents with only found or only expected relations stand too, with 0 for what they lack.
     """
-    low = lambda df: df.select(id_col, F.lower("source").alias("s"), F.lower("target").alias("t"), "type")
-    f = low(found)
-    ways = f.select(id_col, "s", "t", "type", F.lit(3).alias("rank")).unionByName(f.select(id_col, "s", "t", F.lit(None).cast("string").alias("type"), F.lit(2).alias("rank")))
-    ways = ways.unionByName(f.select(id_col, F.col("t").alias("s"), F.col("s").alias("t"), F.lit(None).cast("string").alias("type"), F.lit(1).alias("rank"))).distinct()
-    e = expected.withColumns({"_s": F.lower("source"), "_t": F.lower("target")})
-    w = ways.withColumnsRenamed({id_col: "_id", "s": "_fs", "t": "_ft", "type": "_ftype"})
-    j = e.join(w, (e[id_col] == w["_id"]) & (e["_s"] == w["_fs"]) & (e["_t"] == w["_ft"]) & (w["_ftype"].isNull() | (e["type"] == w["_ftype"])), "left")
-    best = j.groupBy(id_col, "source", "target", "type").agg(F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
-    met = best.select(id_col, "source", "target", "type", F.element_at(F.array(*map(F.lit, ("missed", "reversed", "partial", "exact"))), F.col("rank") + 1).alias("met"))
+    ends = [F.lower("source"), F.lower("target")]
+    both = ends[0].isNotNull() & ends[1].isNotNull()  # least and greatest pass over nulls
+    pair = [F.when(both, F.least(*ends)).alias("_x"), F.when(both, F.greatest(*ends)).alias("_y")]
+    forth = (ends[0] <= ends[1]).alias("forth")
+    # one row for each pair of names, whatever its direction: all that was found between them
+    f = found.select(id_col, *pair, F.struct(forth, "type").alias("way")).groupBy(id_col, "_x", "_y").agg(F.collect_set("way").alias("ways"))
+    e = expected.select(id_col, "source", "target", "type", *pair, forth).distinct().join(f, [id_col, "_x", "_y"], "left")
+    same = F.exists("ways", lambda w: w["forth"] == F.col("forth"))
+    exact = F.exists("ways", lambda w: (w["forth"] == F.col("forth")) & (w["type"] == F.col("type")))
+    # names that differ in nothing but case stand in both directions, and so exactly or partially
+    how = F.when(exact, "exact").when(same, "partial").when(F.col("ways").isNotNull(), "reversed").otherwise("missed")
+    met = e.select(id_col, "source", "target", "type", how.alias("met"))
     recall = met.groupBy(id_col).agg((F.count_if(F.col("met") != "missed") / F.count("*")).alias("recall"))
     precise = found.groupBy(id_col).agg((F.count_if(F.col("type") != "RELATED_TO") / F.count("*")).alias("precision"))
     share = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
