@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.matching import best_names, sums_before
+from marginalia.operators.places import stored
 
 #: Base forms of verbs with the relations they stand for in parse relations.
 PARSE_VERBS = {
@@ -68,8 +69,8 @@ def chunk_entities(chunks: DataFrame, least: int = 3, id_col: str = "doc_id") ->
     return g.select(id_col, "f.text", F.lit("CONCEPT").alias("type"), F.lit(0.6).alias("confidence"), "n")
 
 
-def parse_edges(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, sent_id, relation, head, dependent, head_idx, dep_idx), places from 0.
+def _parsed(tagged: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(sentences with a head, the edge of the noun on its left, that of the phrase on its right); null edges where there are none.
 
     The head is the first verb, or where there is none the first auxiliary. The noun next on its left is its subject: of a
     form in -ed (or a listed one) after an auxiliary, nsubjpass, else nsubj. The last noun of the first phrase on its right
@@ -91,6 +92,12 @@ def parse_edges(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     subject = F.when(F.col("_l") > 0, edge(F.col("_l"), F.when(passive, "nsubjpass").otherwise("nsubj")))
     other = F.when(F.col("_u"), "pobj").when(F.substring("_s", F.col("_h"), F.lit(1)) == "A", "attr").otherwise("dobj")
     found = F.when(F.col("_r") > F.col("_h"), edge(F.col("_r"), other))
+    return p, subject, found
+
+
+def parse_edges(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, sent_id, relation, head, dependent, head_idx, dep_idx), places from 0."""
+    p, subject, found = _parsed(tagged)
     return p.select(id_col, "sent_id", F.explode(F.array_compact(F.array(subject, found))).alias("e")).select(id_col, "sent_id", "e.*")
 
 
@@ -104,17 +111,16 @@ def _parse_type(verb: Column) -> Column:
 
 def parse_relations(tagged: DataFrame, entities: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, sent_id, source, target, type, confidence): subject and object of one head, as whole phrases that are entities (text) of the document."""
-    e = parse_edges(tagged, id_col)
-    ends = tagged.select(id_col, "sent_id", F.explode(_chunks(tagged)).alias("c"))
-    # a token's phrase is the one that ends with it or holds it; it begins at most one determiner before the run
-    phrase = ends.select(id_col, "sent_id", F.explode(F.sequence("c.first", "c.last")).alias("dep_idx"), "c.text")
-    full = e.join(phrase, [id_col, "sent_id", "dep_idx"])
+    p, subject, found = _parsed(tagged)
+    p = p.select(id_col, "sent_id", subject.alias("a"), found.alias("b"), "tags", "tokens").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    p = p.select(id_col, "sent_id", "a", "b", _chunks(p).alias("c"))
+    # a token's phrase is the one that holds it, in its sentence's own row: phrases lie apart
+    phrase = lambda side: F.get(F.filter("c", lambda c: (c["first"] <= F.col(f"{side}.dep_idx")) & (F.col(f"{side}.dep_idx") <= c["last"])), F.lit(0))["text"]
+    r = p.select(id_col, "sent_id", phrase("a").alias("source"), phrase("b").alias("target"), _parse_type(F.col("a.head")).alias("type"))
     known = entities.select(id_col, F.lower("text").alias("_low")).distinct()
-    full = full.withColumn("_low", F.lower("text")).join(known, [id_col, "_low"], "left_semi")
-    key = [id_col, "sent_id", "head_idx"]
-    a = full.where(F.col("relation").isin("nsubj", "nsubjpass")).select(*key, "head", F.col("text").alias("source"))
-    b = full.where(F.col("relation").isin("dobj", "pobj", "attr")).select(*key, F.col("text").alias("target"))
-    return a.join(b, key).select(id_col, "sent_id", "source", "target", _parse_type(F.col("head")).alias("type"), F.lit(0.6).alias("confidence"))
+    for end in ("source", "target"):
+        r = r.withColumn("_low", F.lower(end)).join(known, [id_col, "_low"], "left_semi").drop("_low")
+    return r.select(id_col, "sent_id", "source", "target", "type", F.lit(0.6).alias("confidence"))
 
 
 def slot_matches(sents: DataFrame, id_col: str = "doc_id", text_col: str = "sentence") -> DataFrame:
@@ -139,7 +145,7 @@ def slot_relations(sents: DataFrame, entities: DataFrame, id_col: str = "doc_id"
     that fits it best. Datasets without a subject of their own go to every TECHNOLOGY of the sentence.
     """
     key = [id_col, "sent_id"]
-    named = best_names(slot_matches(sents, id_col), entities, "word", *key)
+    named = stored(best_names(stored(slot_matches(sents, id_col), "slots"), entities, "word", *key), "slots")  # both are read several times
     sure = reduce(lambda c, x: c.when(F.col("pattern") == x[0], x[1][2]), enumerate(SLOT_PATTERNS), F.when(F.lit(False), 0.0))
     m = [*key, "pattern", "match", "evidence"]
     a = named.select(*m, F.col("slot").alias("a"), F.col("word_entity").alias("source"))
