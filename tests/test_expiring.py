@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import evaluation
+from marginalia.operators import evaluation, extraction
 from marginalia.streaming import expiring
 
 START = dt.datetime(2024, 1, 1)
@@ -94,3 +94,17 @@ def test_uploads_share_buckets(spark, tmp_path):
     want = [(d, int((at - START).total_seconds()), s, True, None) for d, at, s in rows] + [(f"u{i}", 10 * i + 62, "failed", True, "timeout") for i in range(0, 60, 3)]
     assert sorted((r.doc_id, int((r.ts - START).total_seconds()), r.status, r.accepted, r.reason or "") for r in got) == sorted((*w[:4], w[4] or "") for w in want)
     assert max(sizes) <= 4 * 3
+
+
+def test_null_names_meet_nothing(spark):
+    found = spark.createDataFrame([(1, None, "b", "USES"), (1, "b", "b", "USES"), (1, "x", "y", None)], "doc_id int, source string, target string, type string")
+    want = spark.createDataFrame([(1, None, "b", "USES"), (1, "x", "y", None), (1, "y", "x", "USES")], "doc_id int, source string, target string, type string")
+    met = evaluation.lenient(found, want)[0]
+    assert {(r.source, r.target): r.met for r in met.collect()} == {(None, "b"): "missed", ("x", "y"): "partial", ("y", "x"): "reversed"}
+
+
+def test_pairs_carry_types_without_a_join(spark):
+    docs = spark.createDataFrame([(1, "Alpha met Beta. Gamma met nobody.")], "doc_id int, text string")
+    names = spark.createDataFrame([(1, 1, "Alpha", "PERSON"), (1, 2, "Beta", "METHOD")], "doc_id int, ord int, text string, type string")
+    p = extraction.pairs_in_sentence(extraction.sentence_hits(docs, names))
+    assert [(r.source, r.source_type, r.target, r.target_type) for r in p.collect()] == [("Alpha", "PERSON", "Beta", "METHOD")]
